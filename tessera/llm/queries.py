@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import secrets
+from tessera.llm import decontaminate, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(spark, _table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_secrets": op5_secrets}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.judge(spark, docs, _table(spark, sf_dir, "benchmark")))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op5_secrets": op5_secrets, "op7_decontaminate": op7_decontaminate}
+
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE}
