@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, secrets
+from tessera.llm import decontaminate, licenses, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(spark, _table(spark, sf_dir, "documents")))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(spark, _table(spark, sf_dir, "documents")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.judge(spark, docs, _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op7_decontaminate": op7_decontaminate}
+QUERIES = {"op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_decontaminate": op7_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE}
