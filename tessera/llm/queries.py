@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, secrets
+from tessera.llm import decontaminate, licenses, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.judge(spark, docs, _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_decontaminate": op7_decontaminate}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(spark, _table(spark, sf_dir, "pages")))
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE}
+
+QUERIES = {"op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_decontaminate": op7_decontaminate, "op9_warc": op9_warc}
+
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
