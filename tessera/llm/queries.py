@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, secrets, warc
+from tessera.llm import decontaminate, extract, langid, licenses, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(spark, _table(spark, sf_dir, "documents")))
 
@@ -28,6 +32,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(spark, _table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_decontaminate": op7_decontaminate, "op9_warc": op9_warc}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_extract": op3_extract,
+    "op5_secrets": op5_secrets,
+    "op6_licenses": op6_licenses,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_warc": op9_warc,
+    "op10_language": op10_language,
+}
 
+#: SQL for those that it can express; the others have brute-force tests.
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
