@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, extract, langid, licenses, secrets, warc
+from tessera.llm import decontaminate, extract, langid, licenses, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(spark, _table(spark, sf_dir, "pages"))
 
@@ -37,6 +44,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_extract": op3_extract,
     "op5_secrets": op5_secrets,
     "op6_licenses": op6_licenses,
