@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, extract, langid, licenses, packing, secrets, warc
+from tessera.llm import ann, decontaminate, extract, langid, licenses, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.judge(spark, docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(spark, ann.build_index(spark, rows), ann.build_index(spark, rows.where("vec_id % 50 = 0")), 5)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(spark, _table(spark, sf_dir, "pages")))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_licenses": op6_licenses,
     "op7_decontaminate": op7_decontaminate,
+    "op8_nearest": op8_nearest,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
