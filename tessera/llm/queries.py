@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, decontaminate, extract, langid, licenses, packing, secrets, warc
+from tessera.llm import ann, decontaminate, extract, jaccard, langid, licenses, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(spark, _table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(spark, _table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(spark, _table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_extract": op3_extract,
+    "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_licenses": op6_licenses,
     "op7_decontaminate": op7_decontaminate,
