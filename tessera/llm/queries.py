@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, decontaminate, extract, jaccard, langid, licenses, packing, secrets, warc
+from tessera.llm import ann, decontaminate, extract, jaccard, langid, licenses, packing, secrets, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(spark, _table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_extract": op3_extract,
     "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
