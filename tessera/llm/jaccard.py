@@ -13,12 +13,18 @@ are known to be connected, or few enough to compare. Every link that is used is
 verified with exact counts.
 
 Documents with equal sets are one from the start. The slices of a map task are
-reduced to one row per distinct slice before they are shuffled, so a slice that a
-third of all documents share costs a row per task. A region beyond
+reduced to one row per distinct slice before they are shuffled, and so are the
+shingles of the census, so what a third of all documents share costs a row per
+task. A region beyond
 ``REGION_BYTES`` is not joined in one task: rounds of pivots are compared with
 its documents, dealt over salted blocks, until every document outside its largest
 component has been a pivot.
 
+First, a census finds the sets that can have a link at all: a linked set lacks a
+bounded share of a set's shingles, so one with more shingles that no other has is
+alone. It looks at a part of the shingles, by hash, that is twice that share. This
+also keeps texts apart that have but some lines in common.
+
 Defined cases: null and wordless texts have the empty set, are linked with
 nothing and are their own component; null ids take no part in links and have a
 null component; rows that share an id are one document; texts of fewer words than
@@ -177,20 +183,38 @@ def _lots(texts: list[str]) -> Iterator[tuple[int, int]]:
 CENSUS = "key bigint, a bigint, b bigint, c bigint, n int"
 
 
+def _leads(keys: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and documents in order, where a key begins, and its smallest document."""
+    k, i = np.concatenate(keys), np.concatenate(ids)
+    order = np.lexsort((i, k))
+    k, i = k[order], i[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    return k, i, new, i[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _sampled(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The part of a set that the census looks at: by hash, twice the share that two
+    linked sets can differ in."""
+    return s[mix(s, 31) < U(min(2 * (den - num) * (1 << 64) // den, (1 << 64) - 1))]
+
+
+def _credits(ids: np.ndarray) -> pd.DataFrame:
+    """Rows (a: document, b: how many of its sampled shingles are elsewhere, too)."""
+    docs, n = np.unique(ids, return_counts=True)
+    return pd.DataFrame({"key": mix(docs.view(U)).view(np.int64), "a": docs, "b": n, "c": None, "n": 1})
+
+
 def _census(words: int, num: int, den: int):
-    """Of each document a row (c, b: its set's name; n: its size); of each slice of
-    a run a row (key, a: the smallest document), and edges (a, b) to that document."""
+    """Of each document a row (a, b and c: its set's name; n: 2 + its size) and a row
+    (a, b: the sampled shingles of the set, n: -1); of each sampled shingle of a run
+    that one set of the run has a row (key, a); what more sets have is credited."""
 
     def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        k, i = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        lead = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-        yield pd.DataFrame({"key": k[new].view(np.int64), "a": i[new], "b": None, "c": None, "n": 0})
-        edges = np.unique(np.stack([i, lead])[:, i != lead], axis=1)
-        if edges.shape[1]:
-            yield pd.DataFrame({"key": mix(edges[0].view(U)).view(np.int64), "a": edges[0], "b": edges[1], "c": None, "n": 1})
+        k, i, new, _ = _leads(keys, ids)
+        last = np.append(new[1:], True)
+        yield pd.DataFrame({"key": k[new].view(np.int64), "a": i[new], "b": (~last[new]).astype(np.int64), "c": None, "n": 0})
+        if not last[new].all():
+            yield _credits(i[~(new & last)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, keys, ids, held = Shingler(words), [], [], 0
@@ -198,24 +222,84 @@ def _census(words: int, num: int, den: int):
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
             doc_ids = batch["id"].to_numpy(dtype=np.int64)
             names = np.zeros((len(texts), 2), dtype=np.int64)
-            sizes = np.zeros(len(texts), dtype=np.int32)
-            seen: dict[tuple, int] = {}
+            sizes, looked = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+            seen: set[tuple] = set()
             for a, b in _lots(texts):
                 for j, s in enumerate(shingler.sets(texts[a:b]), a):
                     sizes[j] = len(s)
                     if not len(s):
                         continue
                     names[j] = [mix(s, 1).sum(dtype=U).view(np.int64), mix(s, 2).sum(dtype=U).view(np.int64)]
+                    part = _sampled(s, num, den)
+                    looked[j] = len(part)
                     name = (*names[j].tolist(), len(s))
-                    if name not in seen:  # equal sets have equal slices
-                        seen[name] = j
+                    if name not in seen and len(part):  # for equal sets, the first speaks
+                        seen.add(name)
+                        keys.append(part)
+                        ids.append(np.full(len(part), doc_ids[j]))
+                        held += len(part)
+                if held > RUN_SLICES:
+                    yield from emit(keys, ids)
+                    keys, ids, held = [], [], 0
+            key = mix(doc_ids.view(U)).view(np.int64)
+            yield pd.DataFrame({"key": key, "a": doc_ids, "b": names[:, 0], "c": names[:, 1], "n": 2 + sizes})
+            yield pd.DataFrame({"key": key, "a": doc_ids, "b": looked, "c": None, "n": -1})
+        if keys:
+            yield from emit(keys, ids)
+
+    return run
+
+
+def _credit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingles that more than one run has are credited to the documents that were
+    alone with them in theirs; other rows pass."""
+    keys, ids, shared = [], [], []
+    for batch in batches:
+        own = batch["n"].to_numpy() == 0
+        keys.append(batch["key"].to_numpy(dtype=np.int64)[own])
+        ids.append(batch["a"].to_numpy(dtype=np.int64)[own])
+        shared.append(batch["b"].to_numpy(dtype=np.float64)[own] > 0)
+        if not own.all():
+            yield batch[~own].drop(columns="key")
+    if not keys or not sum(map(len, keys)):
+        return
+    k, i, credited = np.concatenate(keys), np.concatenate(ids), np.concatenate(shared)
+    order = np.argsort(k, kind="stable")
+    k, i, credited = k[order], i[order], credited[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    more = ~(new & np.append(new[1:], True)) & ~credited
+    if more.any():
+        yield _credits(i[more]).drop(columns="key")
+
+
+EDGES = "key bigint, a bigint, b bigint"
+
+
+def _slice_rows(words: int, num: int, den: int):
+    """Of each slice of a run a row (key, a: the smallest document), and edges (a, b)
+    to that document."""
+
+    def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        k, i, new, lead = _leads(keys, ids)
+        yield pd.DataFrame({"key": k[new].view(np.int64), "a": i[new], "b": None})
+        edges = np.unique(np.stack([i, lead])[:, i != lead], axis=1)
+        if edges.shape[1]:
+            yield pd.DataFrame({"key": mix(edges[0].view(U)).view(np.int64), "a": edges[0], "b": edges[1]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, keys, ids, held = Shingler(words), [], [], 0
+        for batch in batches:
+            texts = [x if isinstance(x, str) else "" for x in batch["text"]]
+            doc_ids = batch["id"].to_numpy(dtype=np.int64)
+            for a, b in _lots(texts):
+                for j, s in enumerate(shingler.sets(texts[a:b]), a):
+                    if len(s):
                         keys.append(slices(s, num, den))
                         ids.append(np.full(len(keys[-1]), doc_ids[j]))
                         held += len(keys[-1])
                 if held > RUN_SLICES:
                     yield from emit(keys, ids)
                     keys, ids, held = [], [], 0
-            yield pd.DataFrame({"key": mix(doc_ids.view(U)).view(np.int64), "a": doc_ids, "b": names[:, 0], "c": names[:, 1], "n": 2 + sizes})
         if keys:
             yield from emit(keys, ids)
 
@@ -223,27 +307,19 @@ def _census(words: int, num: int, den: int):
 
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents and edges pass; slices of one key become edges to their smallest
-    document."""
+    """Edges pass; slices of one key become edges to their smallest document."""
     keys, ids = [], []
     for batch in batches:
-        own = batch["n"].to_numpy() == 0
+        own = batch["b"].isna().to_numpy()
         keys.append(batch["key"].to_numpy(dtype=np.int64)[own])
         ids.append(batch["a"].to_numpy(dtype=np.int64)[own])
         if not own.all():
-            yield batch[~own].drop(columns="key")
-    if not keys:
-        return
-    k, i = np.concatenate(keys), np.concatenate(ids)
-    keys.clear(), ids.clear()
-    order = np.lexsort((i, k))
-    k, i = k[order], i[order]
-    if len(k):
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        lead = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+            yield batch.loc[~own, ["a", "b"]]
+    if keys and sum(map(len, keys)):
+        _, i, _, lead = _leads(keys, ids)
         edges = np.unique(np.stack([i, lead])[:, i != lead], axis=1)
         if edges.shape[1]:
-            yield pd.DataFrame({"a": edges[0], "b": edges[1], "c": None, "n": 1})
+            yield pd.DataFrame({"a": edges[0], "b": edges[1]})
 
 
 class Region:
@@ -399,7 +475,7 @@ def join_documents(spark: SparkSession, docs: DataFrame, words: int = 5, num: in
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where(F.col("id").isNotNull())
-    census = known.mapInPandas(_census(words, num, den), CENSUS).repartition("key").mapInPandas(_resolve, "a bigint, b bigint, c bigint, n int")
+    census = known.mapInPandas(_census(words, num, den), CENSUS).repartition("key").mapInPandas(_credit, "a bigint, b bigint, c bigint, n int")
     census = materialize(spark, census, "jaccard-census")
     rows = census.where("n >= 2").select(F.col("a").alias("id"), (F.col("n") - 2).alias("n_shingles"), F.col("b").alias("s1"), F.col("c").alias("s2"))
     # equal sets: named by their smallest document
@@ -407,10 +483,15 @@ def join_documents(spark: SparkSession, docs: DataFrame, words: int = 5, num: in
     again = sets.where("copies > 1").drop("copies")
     named = rows.join(again, ["s1", "s2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     named = materialize(spark, named, "jaccard-named")
-    copies = named.where("rep <> id").groupBy("id").agg(F.min("rep").alias("rep"))
-    edges = census.where("n = 1").select("a", "b")
-    for side in ("a", "b"):
-        edges = edges.join(copies.withColumnsRenamed({"id": "c_id", "rep": "c_rep"}), F.col(side) == F.col("c_id"), "left").withColumn(side, F.coalesce("c_rep", side)).select("a", "b")
+    # a set with more shingles of its own than a linked one can lack has no link
+    elsewhere = census.where("n = 1").groupBy(F.col("a").alias("e_id")).agg(F.sum("b").alias("elsewhere"))
+    looked = census.where("n = -1").groupBy(F.col("a").alias("l_id")).agg(F.max("b").alias("looked"))
+    own = F.col("looked") - F.coalesce("elsewhere", F.lit(0))
+    maybe = named.where("rep = id and n_shingles > 0").groupBy("id").agg(F.max("n_shingles").alias("n")).join(looked, F.col("id") == F.col("l_id")).join(elsewhere, F.col("id") == F.col("e_id"), "left").where(own * den <= F.col("n") * (den - num)).select(F.col("id").alias("m_id"))
+    maybe = materialize(spark, maybe, "jaccard-maybe")
+    near = maybe.count() <= BROADCAST_IDS
+    candidates = known.join(F.broadcast(maybe) if near else maybe, F.col("id") == F.col("m_id")).select("id", "text")
+    edges = candidates.mapInPandas(_slice_rows(words, num, den), EDGES).repartition("key").mapInPandas(_resolve, "a bigint, b bigint").distinct()
     region = materialize(spark, components(spark, edges), "jaccard-regions")
     wanted = region.select(F.col("node").alias("w_id"), F.col("label").alias("region"))
     if region.count() <= BROADCAST_IDS:
