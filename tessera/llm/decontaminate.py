@@ -66,8 +66,12 @@ def _probe(docs: DataFrame, lengths: list[int], id_col: str, text_col: str) -> D
         rows = rows.select("id", "version", "w", "hw", F.lit(lengths[0]).alias("len"), at.alias("at"))
     else:
         none = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("at")))
-        each = [F.when(F.size("w") >= n, F.transform(places(n), lambda i, n=n: F.struct(F.lit(n).alias("len"), i.alias("at")))).otherwise(F.array().cast("array<struct<len:int,at:int>>")) for n in lengths]
-        rows = rows.withColumn("at", F.flatten(F.array(none, *each))).select("id", "version", "w", "hw", F.inline_outer("at"))
+
+        def each(n: int) -> Column:
+            own = F.transform(places(n), lambda i: F.struct(F.lit(n).alias("len"), i.alias("at")))
+            return F.when(F.size("w") >= n, own).otherwise(F.array().cast("array<struct<len:int,at:int>>"))
+
+        rows = rows.withColumn("at", F.flatten(F.array(none, *map(each, lengths)))).select("id", "version", "w", "hw", F.inline_outer("at"))
     h = F.when(F.col("at") == -1, F.lit(OWN))
     for n in lengths[:-1]:
         h = h.when(F.col("len") == n, gram_hash(F.col("hw"), F.col("at"), n))
