@@ -223,7 +223,7 @@ def _census(words: int, num: int, den: int):
             doc_ids = batch["id"].to_numpy(dtype=np.int64)
             names = np.zeros((len(texts), 2), dtype=np.int64)
             sizes, looked = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-            seen: set[tuple] = set()
+            spoken: dict[tuple, list] = {}
             for a, b in _lots(texts):
                 for j, s in enumerate(shingler.sets(texts[a:b]), a):
                     sizes[j] = len(s)
@@ -232,19 +232,23 @@ def _census(words: int, num: int, den: int):
                     names[j] = [mix(s, 1).sum(dtype=U).view(np.int64), mix(s, 2).sum(dtype=U).view(np.int64)]
                     part = _sampled(s, num, den)
                     looked[j] = len(part)
+                    # of equal sets the smallest document speaks: the one that will stand for all
                     name = (*names[j].tolist(), len(s))
-                    if name not in seen and len(part):  # for equal sets, the first speaks
-                        seen.add(name)
-                        keys.append(part)
-                        ids.append(np.full(len(part), doc_ids[j]))
-                        held += len(part)
-                if held > RUN_SLICES:
-                    yield from emit(keys, ids)
-                    keys, ids, held = [], [], 0
+                    if name in spoken:
+                        spoken[name][0] = min(spoken[name][0], doc_ids[j])
+                    else:
+                        spoken[name] = [doc_ids[j], part]
+            for i, part in spoken.values():
+                keys.append(part)
+                ids.append(np.full(len(part), i))
+                held += len(part)
+            if held > RUN_SLICES:
+                yield from emit(keys, ids)
+                keys, ids, held = [], [], 0
             key = mix(doc_ids.view(U)).view(np.int64)
             yield pd.DataFrame({"key": key, "a": doc_ids, "b": names[:, 0], "c": names[:, 1], "n": 2 + sizes})
             yield pd.DataFrame({"key": key, "a": doc_ids, "b": looked, "c": None, "n": -1})
-        if keys:
+        if held:
             yield from emit(keys, ids)
 
     return run
