@@ -40,12 +40,6 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: cuts
     the lineage and survives the loss of executors."""
@@ -62,11 +56,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def bytes_of(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def ascii_lower(col):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
