@@ -15,7 +15,8 @@ def test_equals_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
-    text = lambda df: sorted(tuple("null" if v != v or v is None or str(v) == "<NA>" else str(float(v)) if hasattr(v, "real") else str(v) for v in r) for r in df[columns].itertuples(index=False))
+    cell = lambda v: "null" if v is None or str(v) in ("<NA>", "nan") else str(float(v)) if hasattr(v, "real") else str(v)
+    text = lambda df: sorted(tuple(map(cell, r)) for r in df[columns].itertuples(index=False))
     assert sorted(want.columns) == columns and text(got) == text(want)
 
 
