@@ -5,7 +5,8 @@ pivot, where no triangle inequality can tell them apart, so regions of the space
 are first cut out around documents that share content: a set is divided into
 more slices than two linked sets can differ in, so linked sets have a slice in
 common that holds the same shingles. Documents connected by equal slices make a
-region; no link leaves it. Within a region pivots create Voronoi cells; a
+region; no link leaves it. A region falls into parts by the rarest shingles of its
+documents, which linked ones provably share. Within a part pivots create Voronoi cells; a
 document is replicated to every cell whose pivot is no farther from it than its
 nearest one by twice the link distance, which by the triangle inequality keeps
 linked documents together; cells are joined recursively until all their documents
@@ -363,9 +364,33 @@ class Region:
         first = self.find(int(members[0]))
         return all(self.find(x) == first for x in members.tolist())
 
+    def parts(self) -> list[np.ndarray]:
+        """Members that no link leads out of: each has its rarest shingles in the
+        region, one more than it can lack of a linked one, and those that share one
+        of these are together."""
+        n, held = len(self.size), np.bincount(self.columns)
+        doc = np.repeat(np.arange(n), self.size)
+        order = np.lexsort((self.columns, held[self.columns], doc))
+        prefix = self.size + self.num * self.size // -self.den + 1
+        keep = np.arange(len(doc)) - np.repeat(self.starts[:-1], self.size) < np.repeat(prefix, self.size)
+        doc, column = doc[order][keep], self.columns[order][keep]
+        label = np.arange(n)
+        while True:
+            low = np.full(len(held), n)
+            np.minimum.at(low, column, label[doc])
+            new = label.copy()
+            np.minimum.at(new, doc, low[column])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        by = np.argsort(label, kind="stable")
+        cuts = np.flatnonzero(np.diff(label[by])) + 1
+        return [x for x in np.split(by, cuts) if len(x) > 1]
+
     def join(self) -> list[int]:
         """The smallest connected member of each."""
-        todo = [np.arange(len(self.size))]
+        todo = self.parts()
         while todo:
             members = todo.pop()
             while len(members) > LEAF and not self.connected(members):
