@@ -1,15 +1,22 @@
 """License scan: exact set-similarity join of text blocks and templates, with
 DataFrame functions only.
 
-A text block is a line. Its words form a set, as a template's do; a block matches
-a template when it holds at least ``threshold`` of the template's set. Template
-words are ordered by how many lines of the whole corpus hold them. Of a template
+A text block is a window of consecutive words of the whole text, wherever its
+lines break: for a template of n words, n and ``SLACK`` or n / 2 more, whichever
+is larger. Its words form a set, as a template's do; a block matches a template
+when it holds at least ``threshold`` of the template's set, or all but one word
+of a set of more than ``WHOLE``, and every word of ``TELLING`` that the template
+has; a block with one of a label's ``BARRED`` words is none of that label. Template
+words are ordered by how many rows of the whole corpus hold them. Of a template
 of n words of which k must be present, a matching block holds one of the n-k+1
-rarest (prefix filter), has k words of the templates at least (length filter),
-and a pair is kept only if the template's words from the shared one on can still
-make k (positional filter); the rest is counted exactly. The templates are a
-parameter of bounded size (checked), so their index is broadcast. One pass over
-the texts leaves only the template words of each line; texts never move.
+rarest, or its rarest telling word (prefix filter), stands around a place of that
+word (positional filter) and has k words of the template there (length filter);
+the rest is counted exactly. The templates are a parameter of bounded size
+(checked), so their index is broadcast. One pass over the texts leaves only the
+template words and their places; texts never move.
+
+Templates of fewer than ``LEAST_WRAPPED`` words match within a line only: a word
+or two from neighbouring lines are no notice.
 
 Defined cases: null and wordless texts have no words and no labels; repeated rows
 each get their result; empty tables give empty results; other columns of the
@@ -56,43 +63,88 @@ TEMPLATES = (
 )
 MAX_TEMPLATE_WORDS = 20_000
 THRESHOLD = 0.95
+#: No word may be missing from sets of so many words or fewer.
+WHOLE = 3
+#: Words by which alone licences differ: none of them may be missing.
+TELLING = ("affero", "apache", "attribution", "commons", "creative", "gnu", "lesser", "mit", "mozilla", "nc", "sa")
+#: Words that make a notice one of another label.
+BARRED = {"gpl": ("affero", "lesser")}
+#: Other words that a block has room for, at least.
+SLACK = 3
+LEAST_WRAPPED = 3
 #: Stands for the end of a line among the words; doubled where a text has it.
 LINE = "\ue000"
 
 
-def _reduced(docs: DataFrame, vocabulary: list[str], phrases: tuple, id_col: str, text_col: str) -> DataFrame:
-    """(id, version, at, label, n_words, lines) by one pass over the texts. At -1:
-    the row itself, with its number of words and, line by line, the words that
-    ``vocabulary`` has. Else: a place where a phrase starts."""
-    text = F.coalesce(text_col, F.lit(""))
-    breaks = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
-    marked = F.replace(F.replace(ascii_lower(text), F.lit(LINE), F.lit(LINE + LINE)), F.lit("\n"), F.lit(f" {LINE} "))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.array_remove(F.split(marked, BETWEEN), "").alias("w"), breaks.alias("breaks"))
-    rows = rows.withColumn("held", F.filter("w", lambda x: x.isin([*vocabulary, LINE])))
-    rows = rows.withColumn("n_words", (F.size("w") - F.col("breaks")).cast("long"))
-    may = reduce(lambda a, b: a | b, [F.array_contains("held", p.split()[-1]) & F.array_contains("held", p.split()[0]) for p, _ in phrases])
-    rows = rows.withColumn("w", F.when(may, F.array_remove("w", LINE)).otherwise(F.array().cast("array<string>")))
-    lines = F.split(F.array_join("held", " "), LINE)
+def _span(text: str) -> int:
+    """Words of a block for the template ``text``."""
+    n = len(text.split())
+    return n + max(SLACK, n // 2)
+
+
+def _need(n: int, threshold: float) -> int:
+    return max(1, min(math.ceil(threshold * n - 1e-9), max(n - 1, WHOLE)))
+
+
+def _reduced(docs: DataFrame, vocabulary: list[str], phrases: tuple, lined: bool, id_col: str, text_col: str) -> DataFrame:
+    """(id, version, at, label, n_words, held, starts) by one pass over the texts.
+    At -1: the row itself, with its number of words, the places of the words that
+    ``vocabulary`` has and, if ``lined``, where lines start. Else: a place where a
+    phrase starts."""
+    text = ascii_lower(F.coalesce(text_col, F.lit("")))
+    marked = F.replace(F.replace(text, F.lit(LINE), F.lit(LINE + LINE)), F.lit("\n"), F.lit(f" {LINE} ")) if lined else text
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.array_remove(F.split(marked, BETWEEN), "").alias("w"))
+    starts = F.array().cast("array<int>")
+    if lined:
+        # The k-th end of a line, counted from 0, has k others before it.
+        starts = F.transform(F.array_compact(F.transform("w", lambda x, i: F.when(x == LINE, i))), lambda x, k: x - k)
+    rows = rows.withColumn("starts", starts).withColumn("w", F.array_remove("w", LINE) if lined else F.col("w"))
+    rows = rows.withColumn("held", F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(vocabulary), F.struct(i.alias("at"), x.alias("word"))))))
+    rows = rows.withColumn("n_words", F.size("w").cast("long"))
+    may = reduce(lambda a, b: a | b, [F.array_contains(F.col("held")["word"], p.split()[-1]) & F.array_contains(F.col("held")["word"], p.split()[0]) for p, _ in phrases])
+    rows = rows.withColumn("w", F.when(may, F.col("w")).otherwise(F.array().cast("array<string>")))
     # The outer generator keeps the optimizer from inferring a filter that would split the texts anew.
     own = F.array(F.lit(-1))
     at = F.explode_outer(F.when(F.size("w") > 0, F.concat(own, F.sequence(F.lit(0), F.size("w") - 1))).otherwise(own))
-    rows = rows.withColumn("lines", lines).select("id", "version", "n_words", "lines", "w", at.alias("at"))
+    rows = rows.select("id", "version", "n_words", "held", "starts", "w", at.alias("at"))
     label = F.when(F.col("at") < 0, F.lit(None).cast("string"))
     for phrase, name in phrases:
         label = label.when(reduce(lambda a, b: a & b, [F.get("w", F.col("at") + k) == x for k, x in enumerate(phrase.split())]), F.lit(name))
     own_only = lambda c: F.when(F.col("at") == -1, F.col(c)).alias(c)
-    return rows.select("id", "version", "at", label.alias("label"), own_only("n_words"), own_only("lines")).where((F.col("at") == -1) | F.col("label").isNotNull())
+    return rows.select("id", "version", "at", label.alias("label"), own_only("n_words"), own_only("held"), own_only("starts")).where((F.col("at") == -1) | F.col("label").isNotNull())
 
 
 def _index(spark: SparkSession, templates: tuple, order: dict[str, int], threshold: float) -> DataFrame:
-    """(word, t_label, tokens, need, left): the prefix of each template; left: its
-    words from this one on."""
+    """(anchor, t_label, tokens, need, span, telling, barred, wrapped): each template
+    by the words of its prefix."""
     rows = []
     for label, text in templates:
         tokens = sorted(set(text.split()), key=lambda x: (order.get(x, 0), x))
-        need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
-        rows += [(w, label, tokens, need, len(tokens) - k) for k, w in enumerate(tokens[: len(tokens) - need + 1])]
-    return spark.createDataFrame(rows, "word string, t_label string, tokens array<string>, need int, left int")
+        need = _need(len(tokens), threshold)
+        telling = [x for x in tokens if x in TELLING]
+        rows += [(w, label, tokens, need, _span(text), telling, list(BARRED.get(label, ())), len(tokens) >= LEAST_WRAPPED) for w in telling[:1] or tokens[: len(tokens) - need + 1]]
+    return spark.createDataFrame(rows, "anchor string, t_label string, tokens array<string>, need int, span int, telling array<string>, barred array<string>, wrapped boolean")
+
+
+def _shares(rows: DataFrame, index: DataFrame, anchors: list[str], reach: int) -> DataFrame:
+    """(id, version, t_label, share) of the templates that rows (id, version, held,
+    starts) match; no block has words farther than ``reach`` from its anchor."""
+    names = F.col("held")["word"]
+    near = rows.where(F.arrays_overlap(names, F.array(*[F.lit(x) for x in anchors])))
+    found = F.array_compact(F.transform(names, lambda x, k: F.when(x.isin(anchors), k)))
+    around = F.transform(found, lambda k: F.struct(F.get("held", k).alias("own"), F.slice("held", F.greatest(k - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("piece")))
+    near = near.select("id", "version", "starts", F.explode(around).alias("x")).select("id", "version", "starts", F.col("x.own.at").alias("p"), F.col("x.own.word").alias("anchor"), "x.piece")
+    pairs = near.join(F.broadcast(index), "anchor")
+    broken = lambda e: F.exists("starts", lambda b: (b > F.least(e["at"], F.col("p"))) & (b <= F.greatest(e["at"], F.col("p"))))
+    words = F.concat("tokens", "barred")
+    pairs = pairs.withColumn("piece", F.filter("piece", lambda e: (F.abs(e["at"] - F.col("p")) < F.col("span")) & F.array_contains(words, e["word"]) & (F.col("wrapped") | ~broken(e))))
+    pairs = pairs.where(F.size("piece") >= F.col("need"))
+    pairs = pairs.withColumn("s", F.explode(F.filter(F.col("piece")["at"], lambda at: at <= F.col("p"))))
+    block = F.filter("piece", lambda e: (e["at"] >= F.col("s")) & (e["at"] < F.col("s") + F.col("span")))
+    pairs = pairs.withColumn("block", F.array_distinct(F.transform(block, lambda e: e["word"])))
+    pairs = pairs.where((F.size(F.array_except("telling", "block")) == 0) & ~F.arrays_overlap("block", "barred"))
+    overlap = F.size(F.array_intersect("tokens", "block"))
+    return pairs.where(overlap >= F.col("need")).groupBy("id", "version", "t_label").agg(F.max(overlap / F.size("tokens")).alias("share"))
 
 
 def find_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, phrases: tuple = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,20 +153,15 @@ def find_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     phrases; ``matches``: the largest share of each template label found."""
     if sum(len(t.split()) for _, t in templates) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"more than {MAX_TEMPLATE_WORDS} words of templates")
-    vocabulary = sorted({w for _, t in templates for w in t.split()} | {w for p, _ in phrases for w in p.split()})
-    table = materialize(spark, _reduced(docs, vocabulary, phrases, id_col, text_col), "licenses")
-    lines = table.where(F.col("at") == -1).select("id", "version", F.explode("lines").alias("line")).where(F.trim("line") != "")
-    lines = lines.select("id", "version", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("words"))
-    counts = lines.select(F.explode("words").alias("word")).groupBy("word").count()
+    vocabulary = sorted({w for _, t in templates for w in t.split()} | {w for p, _ in phrases for w in p.split()} | {w for x in BARRED.values() for w in x})
+    lined = any(len(set(t.split())) < LEAST_WRAPPED for _, t in templates)
+    table = materialize(spark, _reduced(docs, vocabulary, phrases, lined, id_col, text_col), "licenses")
+    rows = table.where((F.col("at") == -1) & (F.size("held") > 0)).select("id", "version", "held", "starts")
+    counts = rows.select(F.explode(F.array_distinct(F.col("held")["word"])).alias("word")).groupBy("word").count()
     order = {r["word"]: r["count"] for r in counts.collect()}  # as many rows as the vocabulary has words
     index = _index(spark, templates, order, threshold)
-    prefixes = sorted({r["word"] for r in index.select("word").collect()})
-    least = min(max(1, math.ceil(threshold * len(set(t.split())) - 1e-9)) for _, t in templates)
-    near = lines.where((F.size("words") >= least) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in prefixes])))
-    near = near.select("id", "version", "words", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in prefixes]))).alias("word"))
-    pairs = near.join(F.broadcast(index), "word").where((F.size("words") >= F.col("need")) & (F.col("left") >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "tokens"))
-    pairs = pairs.where(overlap >= F.col("need")).groupBy("id", "version", "t_label").agg(F.max(overlap / F.size("tokens")).alias("share"))
+    anchors = sorted({r["anchor"] for r in index.select("anchor").collect()})
+    pairs = _shares(rows, index, anchors, max(_span(t) for _, t in templates))
     matches = pairs.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct(F.col("t_label").alias("label"), "share"))).alias("matches"))
     found = table.groupBy("id", "version").agg(
         F.max("n_words").alias("n_words"),

@@ -91,6 +91,22 @@ def test_license_matches_are_all_above_the_threshold(spark):
     assert got == {0: [("a", 0.9), ("b", 1.0)], 1: [], 2: [], 3: [("b", 1.0)]}
 
 
+def test_licenses_wrapped_over_lines(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "gpl": "This program is free software: you can redistribute it and/or modify\n\nit under the terms of the GNU General Public License as published by",
+        "agpl": "you can redistribute it and/or modify it under the terms of the GNU\nAffero General Public License, licensed under the GNU Affero General\nPublic License, version 3",
+        "all-rights-reserved": "x " * 300 + "All rights\nreserved",
+        "cc-by-sa": "licensed under CC\nBY-SA 3.0",
+        "apache-2.0": "Licensed under the Apache\nSoftware License, Version 2",
+    }
+    other = ["Released under the X license", "all rights are with them", "this source code form is subject to the terms of the X public license", "all " + "x " * 20 + "rights reserved"]
+    got = {r["id"]: [m["label"] for m in r["matches"]] for r in licenses.find_licenses(spark, documents(spark, [*texts.values(), *other])).collect()}
+    assert [got[k] for k in range(len(got))] == [[x] for x in texts] + [[]] * len(other)
+
+
 def decontaminated(text, items, n=13):
     w, hit, found = words(text), set(), set()
     for item, t in items:
