@@ -3,11 +3,14 @@
 log posterior = text likelihood + declared language + address suffix + host prior
 
 The text likelihood is a naive Bayes model of byte trigrams, trained here on a
-bounded sample of labelled rows (``sample_rows``) and tempered to ``FULL_WEIGHT``
-trigrams, since neighbouring trigrams are not independent. Host priors are counts
+bounded sample of each label's rows and tempered to ``FULL_WEIGHT`` trigrams, since
+neighbouring trigrams are not independent. Labels are counted over all rows, and
+each gets an equal share of ``sample_rows``, about, but ``LEAST_ROWS`` or all that
+it has at least, so that every labelled language has a model. Host priors are counts
 of text-only labels over all rows, by grouped aggregation: a host is smoothed
 towards its domain, a domain towards the whole corpus, and a row's own vote is
-left out. Rows that no language explains with ``LEAST_CONFIDENCE`` are rejected.
+left out. Rows that no language explains with ``LEAST_CONFIDENCE``, and texts that
+every model explains worse than chance does, are rejected.
 
 Defined cases: a null or empty text has no text evidence (other evidence and
 priors decide, but it is rejected as it has no letters); null declared languages,
@@ -30,8 +33,8 @@ from tessera.llm.common import materialize, small_batches
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 4000
-#: A language needs as many rows of the sample to get a model.
-LEAST_ROWS = 8
+#: So many rows of each language are drawn at least, or all that it has.
+LEAST_ROWS = 200
 FULL_WEIGHT = 60
 #: How often a declaration, or an address suffix, names the true language.
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.7
@@ -67,31 +70,33 @@ def trigrams(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def train(spark: SparkSession, labelled: DataFrame, id_col: str, label_col: str, text_col: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model from the ``sample_rows`` labelled rows whose ids hash lowest."""
+    """The model from about ``sample_rows`` labelled rows, as many of each label as
+    can be, picked by their hash."""
     small_batches(spark)
-    h = F.xxhash64(F.col(id_col), F.lit(7))
-    known = labelled.where(F.col(label_col).isNotNull())
-    top = known.select(h.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if top is None:
+    known = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)).alias("h"))
+    known = known.where(F.col("label").isNotNull() & (F.length("text") > 0))
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")).collect()  # as many rows as there are languages
+    if not counts:
         return Model((), np.zeros((BUCKETS, 0)))
-    sample = known.where(h <= top).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).repartition(8)
+    each = max(LEAST_ROWS, sample_rows // len(counts))
+    # A label's first hash comes along in any case, so that none goes without a row.
+    most = lambda r: max(r["first"], -(1 << 63) + (((1 << 64) - 1) * min(each, r["n"])) // r["n"])
+    bounds = spark.createDataFrame([(r["label"], most(r)) for r in counts], "label string, most bigint")
+    sample = known.join(F.broadcast(bounds), "label").where(F.col("h") <= F.col("most")).select("label", "text").repartition(8)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, found, rows = _table(), {}, {}
+        table, found = _table(), {}
         for batch in batches:
             for label, text in zip(batch["label"], batch["text"]):
                 if isinstance(text, str) and text:
                     c = np.bincount(trigrams(text, table), minlength=BUCKETS)
                     found[label] = found.get(label, 0) + c
-                    rows[label] = rows.get(label, 0) + 1
-        yield pd.DataFrame({"label": list(found), "rows": list(rows.values()), "counts": [c.astype("<i8").tobytes() for c in found.values()]})
+        yield pd.DataFrame({"label": list(found), "counts": [c.astype("<i8").tobytes() for c in found.values()]})
 
     sums: dict[str, np.ndarray] = {}
-    rows: dict[str, int] = {}
-    for r in sample.mapInPandas(count, "label string, rows bigint, counts binary").collect():  # 8 rows a language at most
+    for r in sample.mapInPandas(count, "label string, counts binary").collect():  # 8 rows a language at most
         sums[r["label"]] = sums.get(r["label"], 0) + np.frombuffer(r["counts"], dtype="<i8")
-        rows[r["label"]] = rows.get(r["label"], 0) + r["rows"]
-    languages = tuple(sorted(x for x in sums if rows[x] >= min(LEAST_ROWS, max(rows.values()))))
+    languages = tuple(sorted(sums))
     c = np.stack([sums[x] for x in languages], axis=1) + 0.5
     return Model(languages, np.log(c / c.sum(axis=0)).astype(np.float32))
 
@@ -106,7 +111,8 @@ def text_scores(text: str | None, model: Model, table: np.ndarray) -> np.ndarray
 
 def score_rows(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     """(id, declared, suffix, host, domain) of ``rows`` with ll, the text's score
-    by language, vote, the best of them, and letters, whether there are any."""
+    by language, vote, the best of them, letters, whether there are any, and
+    explained, whether a model does so no worse than chance (all trigrams alike)."""
     small_batches(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,9 +124,11 @@ def score_rows(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
             out["ll"] = scores
             out["vote"] = [int(s.argmax()) if len(s) and x else -1 for s, x in zip(scores, texts)]
             out["letters"] = [any(map(str.isalpha, x)) for x in texts]
+            # len(bytes) trigrams, as the text is framed by spaces
+            out["explained"] = [bool(len(s)) and bool(s.max() >= -math.log(BUCKETS) * min(FULL_WEIGHT, len(x.encode("utf-8", "replace")))) for s, x in zip(scores, texts)]
             yield out
 
-    return rows.mapInPandas(run, "id string, declared string, suffix string, host string, domain string, ll array<double>, vote int, letters boolean")
+    return rows.mapInPandas(run, "id string, declared string, suffix string, host string, domain string, ll array<double>, vote int, letters boolean, explained boolean")
 
 
 def _counts(scored: DataFrame, by: str | None, n: int) -> DataFrame:
@@ -175,8 +183,8 @@ def identify(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     best = F.array_max("scores")
     confidence = 1.0 / F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     lang = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position("scores", best).cast("int"))
-    out = fused.select("id", lang.alias("lang"), confidence.alias("confidence"), "declared", "letters")
-    accepted = F.col("letters") & (F.col("confidence") >= LEAST_CONFIDENCE)
+    out = fused.select("id", lang.alias("lang"), confidence.alias("confidence"), "declared", "letters", "explained")
+    accepted = F.col("letters") & F.col("explained") & (F.col("confidence") >= LEAST_CONFIDENCE)
     return out.select("id", F.when(accepted, F.col("lang")).otherwise(F.lit("und")).alias("lang"), "confidence", "declared", accepted.alias("accepted"))
 
 

@@ -168,3 +168,14 @@ def test_language_edges(spark):
     model = langid.train(spark, docs, "doc_id", "lang", "text", 100)
     got = {r["page_id"]: r["lang"] for r in langid.identify_pages(spark, pages, model).collect()}
     assert got == {1: "en", 2: "und"}
+
+
+def test_language_with_few_labels_and_without_any(spark):
+    docs = documents(spark, [f"the house number {k} is on the hill" for k in range(2000)])
+    rare = documents(spark, ["la maison est sur la colline", "une petite maison rouge"], "fr").withColumn("doc_id", F.col("doc_id") + 10_000)
+    strange = documents(spark, ["это дом на холме, и он очень большой"], None).withColumn("doc_id", F.lit(20_000).cast("bigint"))
+    docs = docs.unionAll(rare).unionAll(strange)
+    assert langid.train(spark, docs, "doc_id", "lang", "text", 400).languages == ("en", "fr")
+    got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in langid.identify_documents(spark, docs, sample_rows=400).where("doc_id >= 10000").collect()}
+    assert got == {10_000: ("fr", True), 10_001: ("fr", True), 20_000: ("und", False)}
+    assert langid.identify_documents(spark, docs, sample_rows=400).where("lang = 'en' and accepted").count() == 2000
