@@ -202,10 +202,10 @@ def markup_language(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
 
 
-def identify_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Documents whose declared language labels the training sample, too; the
-    source takes the place of the host."""
-    model = train(spark, docs, id_col, declared_col, text_col, sample_rows)
+def identify_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", sample_rows: int = SAMPLE_ROWS, model: Model | None = None) -> DataFrame:
+    """Documents whose declared language labels the training sample, too, if there
+    is no ``model`` yet; the source takes the place of the host."""
+    model = model or train(spark, docs, id_col, declared_col, text_col, sample_rows)
     none = F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.substring(F.col(declared_col), 1, 2)).alias("declared"), none.alias("suffix"), F.col(host_col).cast("string").alias("host"), none.alias("domain"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -221,6 +221,14 @@ def identify_pages(spark: SparkSession, pages: DataFrame, model: Model, id_col:
     return identify(spark, rows, model).selectExpr(f"cast(id as {kind}) as {id_col}", "lang", "confidence", "declared", "accepted")
 
 
+def identify_corpus(spark: SparkSession, docs: DataFrame, pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Every row of both tables, by the model of the labelled documents. ``origin``
+    names the table; the id of the other one is null."""
+    model = train(spark, docs, "doc_id", "lang", "text", sample_rows)
+    found = identify_documents(spark, docs, model=model).withColumn("origin", F.lit("documents"))
+    return found.unionByName(identify_pages(spark, pages, model).withColumn("origin", F.lit("pages")), allowMissingColumns=True).select("origin", "doc_id", "page_id", "lang", "confidence", "declared", "accepted")
+
+
 def accepted_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rejected ones."""
     found = identify_documents(spark, docs, id_col, text_col, **options).where(~F.col("accepted")).select(F.col(id_col).alias("_id")).distinct()

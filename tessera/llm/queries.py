@@ -53,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_documents(spark, _table(spark, sf_dir, "documents"))
+    return langid.identify_corpus(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
 
 QUERIES = {

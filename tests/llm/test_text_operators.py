@@ -179,3 +179,14 @@ def test_language_with_few_labels_and_without_any(spark):
     got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in langid.identify_documents(spark, docs, sample_rows=400).where("doc_id >= 10000").collect()}
     assert got == {10_000: ("fr", True), 10_001: ("fr", True), 20_000: ("und", False)}
     assert langid.identify_documents(spark, docs, sample_rows=400).where("lang = 'en' and accepted").count() == 2000
+
+
+def test_language_query_covers_both_tables(spark):
+    from tessera.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    pages, out = spark.read.parquet(f"{sf}/pages.parquet"), QUERIES["op10_language"](spark, sf)
+    assert out.where("origin = 'documents' and page_id is null").count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    got = out.where("origin = 'pages'").select("page_id", "lang", "declared", "accepted").join(pages, "page_id")
+    assert out.where("origin = 'pages' and doc_id is null").count() == got.count() == pages.count()
+    assert got.where("declared is not null and accepted and lang = declared").count() >= 0.95 * pages.count()
