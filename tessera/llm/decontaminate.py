@@ -6,7 +6,9 @@ word by word, and spans or whole documents go. A set beyond ``BROADCAST_BYTES``
 is cut by hash into blocks within that bound, one pass over the texts for each.
 
 Defined cases: null and wordless texts have no words, hits or items; a wordless
-benchmark item has no window; items without an id count for nothing; repeated
+benchmark item has no window; items without an id count for nothing, but with
+``unnamed``, as in the query and the pipeline, their windows hit as any other, and
+they count as one item that is missing from the digest of ids; repeated
 benchmark rows count once; repeated documents each get their result; an empty
 table on either side gives no hits; other columns are kept or ignored.
 """
@@ -44,13 +46,15 @@ def gram_hash(hashes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + k) for k in range(n)])
 
 
-def bench_windows(bench: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(len, h, gram, items): the distinct windows with the ids that hold them."""
-    items = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
+def bench_windows(bench: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
+    """(len, gram, items): the distinct windows with the ids that hold them; with
+    ``unnamed`` also those of items without an id, as a null."""
+    items = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where((F.size("w") > 0) & (F.lit(unnamed) | F.col("item").isNotNull()))
     items = items.withColumn("len", F.least(F.size("w"), F.lit(n)))
     windows = items.select("item", "len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     windows = windows.select("item", "len", F.expr("slice(w, i, len)").alias("gram"))
-    return windows.groupBy("len", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.when(F.count_if(F.col("item").isNull()) > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return windows.groupBy("len", "gram").agg(F.concat(F.array_sort(F.collect_set("item")), none).alias("items"))
 
 
 def _probe(docs: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -79,12 +83,12 @@ def _probe(docs: DataFrame, lengths: list[int], id_col: str, text_col: str) -> D
     return rows.select("id", "version", "w", "len", "at", h.alias("h"))
 
 
-def find_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def find_hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", unnamed: bool = False) -> DataFrame:
     """(id, version, n_words, copies, spans, items) of each distinct row of
     ``docs``; version: hash of its text; copies: rows like it. ``spans``: (pos,
     len) of the hit windows in order of place, from 1; ``items``: the ids of the
     benchmark items that own them, sorted."""
-    windows = bench_windows(bench, n, item_col)
+    windows = bench_windows(bench, n, item_col, unnamed=unnamed)
     sized = windows.groupBy("len").agg(F.sum(F.length(F.array_join("gram", " ")) + F.length(F.array_join("items", ",")) + 16 * F.col("len") + 64).alias("bytes")).collect()  # n rows at most
     lengths = sorted(r["len"] for r in sized) or [n]
     hashed = word_hashes(F.col("gram"))

@@ -229,7 +229,11 @@ def identify_corpus(spark: SparkSession, docs: DataFrame, pages: DataFrame, samp
     return found.unionByName(identify_pages(spark, pages, model).withColumn("origin", F.lit("pages")), allowMissingColumns=True).select("origin", "doc_id", "page_id", "lang", "confidence", "declared", "accepted")
 
 
-def accepted_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rejected ones."""
-    found = identify_documents(spark, docs, id_col, text_col, **options).where(~F.col("accepted")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+def accepted_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` without the rejected ones. A decision holds for the rows of one id
+    and the same evidence, so that no other row with that id, or without any, goes."""
+    model = train(spark, docs, id_col, declared_col, text_col, sample_rows)
+    evidence = [x for c in (text_col, declared_col, host_col) for x in (F.col(c), F.col(c).isNull())]
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.xxhash64(F.col(id_col).isNull(), *evidence).cast("string"))
+    found = identify_documents(spark, docs.withColumn("_key", key), "_key", text_col, declared_col, host_col, model=model)
+    return docs.join(found.where(~F.col("accepted")).select(F.col("_key").alias("_rejected")).distinct(), key == F.col("_rejected"), "left_anti")

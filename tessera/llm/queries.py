@@ -40,7 +40,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.digest(decontaminate.judge(spark, docs, _table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.judge(spark, docs, _table(spark, sf_dir, "benchmark"), unnamed=True))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

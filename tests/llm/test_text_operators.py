@@ -190,3 +190,26 @@ def test_language_query_covers_both_tables(spark):
     got = out.where("origin = 'pages'").select("page_id", "lang", "declared", "accepted").join(pages, "page_id")
     assert out.where("origin = 'pages' and doc_id is null").count() == got.count() == pages.count()
     assert got.where("declared is not null and accepted and lang = declared").count() >= 0.95 * pages.count()
+
+
+def test_rejected_rows_take_no_others_along(spark):
+    texts = ["the house is on the hill", "the hill is by the house"] * 10
+    docs = spark.createDataFrame([(None, t, "en", "s", "x") for t in (*texts, "", "123")] + [(1, None, "en", "s", "x"), (1, texts[0], "en", "s", "x")], DOCS)
+    assert sorted(r["text"] for r in langid.accepted_documents(spark, docs, sample_rows=100).collect()) == sorted([*texts, texts[0]])
+
+
+def test_benchmark_items_without_an_id_hit(spark, tmp_path):
+    import corpus_pipeline
+    import duckdb
+
+    from tessera.llm.queries import QUERIES
+
+    documents(spark, ["The nameless item", "short item, nameless item", "clean", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "nameless item"), (1, "nameless item"), (None, "the"), (2, "short item")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["op7_decontaminate"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(decontaminate.ORACLE).fetchall())
+    kept = corpus_pipeline.benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
