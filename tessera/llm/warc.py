@@ -30,8 +30,6 @@ MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 1000
 SPLIT_BYTES = 4 << 20
-#: Longest header of a record, in bytes, that the reader looks for.
-HEADER_BYTES = 1 << 20
 CHUNK = 256 << 10
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,8 +149,6 @@ def _decode(source: _Range, at: int) -> tuple[bytes, int] | None:
             if not head.startswith(b"WARC/1."):
                 return None
             sure = b"\r\n\r\n" in head
-            if not sure and held > HEADER_BYTES:
-                return None
             parts = [head]
         here += len(chunk) - len(z.unused_data)
     return (b"".join(parts), here) if sure else None

@@ -303,3 +303,14 @@ def test_archive_round_trip(spark):
         assert sorted((tuple(r)[:6] for r in got), key=key) == sorted(want, key=key)
         assert all(hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] for r in got if r["record_type"] == "response")
     assert warc.round_trip(spark, pages.where("false")).count() == 0
+
+
+def test_warc_reads_records_with_long_headers():
+    import base64
+    import io
+    import random
+
+    url = "data:text/html;base64," + base64.b64encode(random.Random(3).randbytes(3 << 20)).decode()
+    data = warc._member(warc._record(1, url, "<p>x</p>", None)) + warc._member(warc._record(2, None, "<p>y</p>", None))
+    got = [warc.parse(x) for x in warc.members(io.BytesIO(data), len(data), 0, len(data))]
+    assert [(x[0], x[1]) for x in got] == [(1, url), (2, None)]
