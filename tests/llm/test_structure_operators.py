@@ -118,9 +118,43 @@ def test_repeats_edges(spark):
     docs = documents(spark, ["x" * 60, "x" * 60, "y" * 60 + "x" * 60], [1, 1, None])
     got = sorted(((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark, docs).collect()), key=str)
     assert got == [(1, 0), (1, 0), (None, 60)]
+    ids = [(1 << 63) - 1, None, (1 << 63) - 1]
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in suffix_dedup.remove_repeats(spark, documents(spark, ["x" * 60, "x" * 60, "z"], ids)).collect())
+    assert got == [(str(ids[0]), 0), (str(ids[0]), 0), ("None", 0)]
     assert suffix_dedup.remove_repeats(spark, docs.where("false")).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_names_of_texts_that_collide_modulo_a_power_of_two():
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b).encode(), dtype=np.uint8)
+    for points in ((3, 5), (1234567, 7654321)):
+        x, y = suffix_dedup.Names(data, points)(np.array([0, 2048]), np.array([2048, 2048]))
+        assert x != y
+
+
+def test_leftmost_minimum_over_the_edge_of_places():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, 140_000).astype(np.uint64) << np.uint64(40)
+    low = suffix_dedup.leftmost_min(x, 35)
+    for i in [*range(65_480, 65_560), *range(131_030, 131_100), 7, 99_000]:
+        assert int(low[i]) == int(x[i : i + 35].min()) | (i + int(x[i : i + 35].argmin())) & 0xFFFF
+
+
+def test_anchor_that_all_blocks_share(spark, monkeypatch):
+    """Only the smallest document of a segment sends its bytes, whatever blocks hold it."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 400)
+    rng = random.Random(9)
+    common = "the one line that every text of this corpus has in it, word for word. "
+    texts = [("".join(rng.choices("abcdefgh ", k=90)) + common + "".join(rng.choices("abcdefgh ", k=60))) for _ in range(60)]
+    got = suffix_dedup.remove_repeats(spark, documents(spark, texts)).collect()
+    assert sorted(map(tuple, got)) == removed(texts, list(range(60)))
+
+
 def test_prefix_classes():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(1, 3, 3000), [0]]).astype(np.uint8)
