@@ -80,6 +80,11 @@ def field(c, name: str) -> Column:
     return _c(c).getField(name)
 
 
+def row(c) -> Column:
+    """The values of a struct as text by field name, as one row is looked at."""
+    return F.to_json(_c(c), {"ignoreNullFields": "false"})
+
+
 def field_names(df: DataFrame, c: str) -> list[str]:
     return [f.name for f in df.schema[c].dataType.fields]
 

@@ -16,7 +16,9 @@ def _c(x) -> Column:
 def ieee_div(a, b) -> Column:
     """Infinite or NaN on division by zero, null only where an operand is."""
     a, b = _c(a).cast("double"), _c(b).cast("double")
-    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    # only its text tells a negative zero, as both zeros are equal
+    positive = (a > 0) == (b.cast("string") != "-0.0")
+    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(positive, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     # nullif: the branch not taken must not divide by zero either
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b != 0, a / F.nullif(b, F.lit(0.0))).otherwise(by_zero)
 
@@ -105,3 +107,29 @@ def count_non_null_horizontal(*cols, nan_as_null: bool = True) -> Column:
 def hash64(*cols) -> Column:
     """A deterministic 64-bit hash of the values together."""
     return F.xxhash64(*map(_c, cols))
+
+
+def combine_hashes(*hashes) -> Column:
+    """One hash of several, in their order; nulls count as no hash at all."""
+    return F.xxhash64(*map(_c, hashes))
+
+
+def min_with(c, value) -> Column:
+    """The smaller of a column and a value; null where the column is."""
+    c = _c(c)
+    return F.when(c.isNotNull(), F.least(c, F.lit(value)))
+
+
+def max_with(c, value) -> Column:
+    """The larger of a column and a value; null where the column is."""
+    c = _c(c)
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(value)))
+
+
+def wrapping(op: str, a, b) -> Column:
+    """Sum, difference or product (``add``, ``sub``, ``mul``) of 64-bit integers that
+    wraps around at the ends, whatever the session's rule for overflow."""
+    wide = [_c(x).cast("decimal(38,0)") for x in (a, b)]
+    exact = {"add": wide[0] + wide[1], "sub": wide[0] - wide[1], "mul": wide[0] * wide[1]}[op]
+    turn, half = F.lit("18446744073709551616").cast("decimal(38,0)"), F.lit("9223372036854775808").cast("decimal(38,0)")
+    return (F.pmod(exact.cast("decimal(38,0)") + half, turn) - half).cast("long")

@@ -7,6 +7,7 @@ windows, fills) needs ``order``, a column whose values are unique.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from tessera.functions import aggregates as A
 from tessera.functions import nested
 from tessera.functions.semantics import _c
-from tessera.operators import joins, reshape, windows
+from tessera.operators import joins, quantiles, reshape, windows
 from tessera.operators.groups import GroupBy
 
 
@@ -166,12 +167,19 @@ class Frame:
         return self.df.agg(*exprs)
 
     def describe(self, *columns: str) -> DataFrame:
-        """A row per numeric column, of one pass over the frame."""
+        """A row per numeric column: one pass over the frame for all but quartiles."""
         names = columns or [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType)]
         keys = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
         wide = self.df.agg(*[e for i, c in enumerate(names) for e in A.describe(c, f"{i}_")])
-        rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{k}").alias(k) for k in keys]) for i, c in enumerate(names)])
-        return wide.select(F.inline(rows))
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{k}").alias(k) for k in keys if k[0] != "q"]) for i, c in enumerate(names)])
+        quarters = [quantiles.quantiles(self.df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumn("column", F.lit(c)) for c in names]
+        return wide.select(F.inline(rows)).join(reduce(DataFrame.unionByName, quarters), "column").select("column", *keys)
+
+    def quantiles(self, column: str, **named: float) -> DataFrame:
+        return quantiles.quantiles(self.df, column, named)
+
+    def mode(self, column: str, name: str = "mode") -> DataFrame:
+        return quantiles.mode(self.df, column, name)
 
     # joins and shape
     def join(self, other: Frame | DataFrame, on=None, how: str = "inner", **options) -> Frame:
@@ -205,12 +213,16 @@ class Frame:
     def with_shifted(self, before: int = 0, after: int = 0, **specs) -> Frame:
         return self._new(windows.shifted(self.df, self._ordered(), specs, before, after))
 
+    def with_rank(self, column: str, rank: str | None = "rank", dense: str | None = "dense_rank") -> Frame:
+        """Ranks by ``column`` over the whole frame."""
+        return self._new(windows.ranked(self.df, column, rank, dense))
+
     # functions of one's own
     def apply(self, column: str, fn: Callable[[pd.Series], pd.Series], returns: str | T.DataType, name: str | None = None) -> Frame:
         """A vectorised function of a column; it sees a batch of rows at a time."""
         return self._new(self.df.withColumn(name or column, F.pandas_udf(fn, returns)(F.col(column))))
 
-    def apply_whole(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> Frame:
+    def apply_gathered(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> Frame:
         """A function that must see all rows at once: in one task, so only for frames
         that fit there."""
         one = self.df.withColumn("_all", F.lit(0)).groupBy("_all")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import aggregates as A
 from tessera.functions.semantics import _c
+from tessera.operators import quantiles, windows
 
 
 class GroupBy:
@@ -61,7 +62,14 @@ class GroupBy:
         return self._named(c, "var")
 
     def median(self, *c: str) -> DataFrame:
-        return self._named(c, "median")
+        """Without a buffer of a group's values; ``agg`` has one in the group's task."""
+        return self.quantiles(c[0], {f"{c[0]}_median": 0.5}) if len(c) == 1 else self._named(c, "median")
+
+    def quantiles(self, column: str, named: dict[str, float]) -> DataFrame:
+        return quantiles.quantiles(self.df, column, named, self.keys)
+
+    def mode(self, column: str) -> DataFrame:
+        return quantiles.mode(self.df, column, f"{column}_mode", self.keys)
 
     def first(self, *c: str) -> DataFrame:
         return self._named(c, "first")
@@ -76,6 +84,6 @@ class GroupBy:
 
 def group_ids(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, first, count, group_id) of each group; groups are numbered from 0 in
-    the order they are first seen. There is a row per group in the ranking."""
+    the order they are first seen."""
     groups = df.groupBy(*keys).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count"))
-    return groups.withColumn("group_id", F.row_number().over(Window.orderBy("first")).cast("long") - 1)
+    return windows.cumulative(groups, "first", {"group_id": ("row_number", None)}).withColumn("group_id", F.col("group_id") - 1)

@@ -2,9 +2,10 @@
 
 Within partitions they are plain window functions. Over a whole frame, one window
 would put all rows into one task; there, rows beyond ``BLOCK_ROWS`` are dealt into
-blocks by range of the order key. Cumulative functions run in each block and add
-what the blocks before sum up to; shifted and rolling ones get the neighbouring
-rows of the blocks beside them. The totals of blocks are few and are broadcast.
+blocks by range of the order key, which may have any type. Cumulative functions run
+in each block and add what the blocks before sum up to; shifted and rolling ones
+work on blocks of numbered rows and get the neighbouring rows of the blocks beside
+them. There is a total per block, and these are broadcast.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.semantics import _c
 
 BLOCK_ROWS = 1_000_000
-#: Blocks at most: so many bounds are sampled and totals broadcast.
-MAX_BLOCKS = 4096
+#: Rows that are sampled for each block, to find its bounds.
+SAMPLE = 40
 
 UNBOUNDED, CURRENT = Window.unboundedPreceding, Window.currentRow
 
@@ -118,21 +120,46 @@ def run_ids(df: DataFrame, id_col: str, order: str, name: str = "run") -> DataFr
     return cumulative(marked.withColumn("_changed", changed), order, {name: ("sum", "_changed")}).drop("_before", "_changed")
 
 
-def blocked(df: DataFrame, order: str, rows: int | None = None, least: int = 1) -> tuple[DataFrame, int]:
-    """``df`` with _block, by range of the order key, and the number of blocks."""
-    n = df.count()
-    size = max(rows or BLOCK_ROWS, least)
-    blocks = min(MAX_BLOCKS, math.ceil(n / size))
+def _key(df: DataFrame, order: str) -> Column:
+    """The order key as what can be handed over as a value without a time zone."""
+    c = F.col(f"`{order}`")
+    return F.unix_micros(c) if isinstance(df.schema[order].dataType, T.TimestampType) else c
+
+
+def _bounds(df: DataFrame, order: str, n: int, blocks: int) -> DataFrame:
+    """One row with ``blocks`` - 1 bounds at most, from a sample of the key, of any type."""
+    keys = df.select(_key(df, order).alias("k")).where(F.col("k").isNotNull())
+    picked = keys.sample(min(1.0, SAMPLE * blocks / n), seed=7).agg(F.array_sort(F.collect_list("k")).alias("s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / blocks).cast("int")))
+    found = picked.select(F.array_distinct(F.array_compact(at)).alias("b"))
+    # taken once, so that every use of the blocks sees the same bounds
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def _below(bounds: Column, key: Column, n: int) -> Column:
+    """How many of at most ``n`` ascending bounds are below ``key``, by binary search."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    further = lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) < key, F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
+def blocked(df: DataFrame, order: str, rows: int | None = None, n: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` with _block, by range of the order key (nulls in the last one), and the
+    number of blocks."""
+    n = df.count() if n is None else n
+    blocks = math.ceil(n / (rows or BLOCK_ROWS))
     if blocks <= 1:
         return df.withColumn("_block", F.lit(0)), 1
-    bounds = df.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("b"))
-    return df.crossJoin(F.broadcast(bounds)).withColumn("_block", F.size(F.filter("b", lambda x: x < F.col(order)))).drop("b"), blocks
+    key = _key(df, order)
+    found = df.withColumn("_bounds", _bounds(df, order, n, blocks).scalar())
+    return found.withColumn("_block", F.when(key.isNull(), F.lit(blocks)).otherwise(_below(F.col("_bounds"), key, blocks - 1))).drop("_bounds"), blocks
 
 
-def cumulative(df: DataFrame, order: str, specs: dict[str, tuple[str, str | None]], rows: int | None = None) -> DataFrame:
+def cumulative(df: DataFrame, order: str, specs: dict[str, tuple[str, str | None]], rows: int | None = None, n: int | None = None) -> DataFrame:
     """``df`` with a column for each of ``specs``: (sum, min, max, row_number or
-    ffill, column), from the first row to the present one."""
-    df, blocks = blocked(df, order, rows)
+    ffill, column), from the first row to the present one. Rows with one key stand
+    in any order, those with a null key at the end. ``n``: the rows, if known."""
+    df, blocks = blocked(df, order, rows, n)
     kinds = {"sum": F.sum, "min": F.min, "max": F.max, "row_number": lambda _: F.count(F.lit(1)), "ffill": lambda c: F.last(c, ignorenulls=True)}
     inner = (Window.partitionBy("_block") if blocks > 1 else Window).orderBy(F.col(order).asc_nulls_last()).rowsBetween(UNBOUNDED, CURRENT)
     out = df.select("*", *[kinds[k](F.col(c) if c else None).over(inner).alias(name) for name, (k, c) in specs.items()])
@@ -156,23 +183,30 @@ def cumulative(df: DataFrame, order: str, specs: dict[str, tuple[str, str | None
 
 def shifted(df: DataFrame, order: str, specs: dict[str, Callable[[WindowSpec], Column]], before: int = 0, after: int = 0, rows: int | None = None) -> DataFrame:
     """``df`` with a column for each of ``specs``, a function of the window that
-    looks at ``before`` rows back and ``after`` ahead at most. The order key must
-    be unique."""
-    df, blocks = blocked(df, order, rows, least=4 * (before + after) + 1)
-    if blocks > 1 and df.groupBy("_block").count().agg(F.min("count")).first()[0] < max(before, after):
-        df, blocks = df.withColumn("_block", F.lit(0)), 1  # very unequal blocks
-    if blocks == 1:
+    looks at ``before`` rows back and ``after`` ahead at most. Rows are numbered and
+    dealt by number, so every block but the last is full, and a row near its end is
+    also sent to the next one. The order key should be unique: rows with one key
+    stand in any order."""
+    n, size = df.count(), max(rows or BLOCK_ROWS, before + after, 1)
+    if n <= size:
         w = Window.orderBy(F.col(order).asc_nulls_last())
-        return df.drop("_block").select("*", *[f(w).alias(n) for n, f in specs.items()])
-    from_end = F.row_number().over(Window.partitionBy("_block").orderBy(F.col(order).desc()))
-    from_start = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    parts = [df.withColumn("_own", F.lit(True))]
-    if before:
-        parts.append(df.withColumn("_k", from_end).where(F.col("_k") <= before).drop("_k").withColumns({"_block": F.col("_block") + 1, "_own": F.lit(False)}))
-    if after:
-        parts.append(df.withColumn("_k", from_start).where(F.col("_k") <= after).drop("_k").withColumns({"_block": F.col("_block") - 1, "_own": F.lit(False)}))
-    everything = parts[0]
-    for p in parts[1:]:
-        everything = everything.unionByName(p)
-    w = Window.partitionBy("_block").orderBy(order)
-    return everything.select("*", *[f(w).alias(n) for n, f in specs.items()]).where("_own").drop("_own", "_block")
+        return df.select("*", *[f(w).alias(name) for name, f in specs.items()])
+    placed = cumulative(df, order, {"_place": ("row_number", None)}, rows, n)
+    at, own = (F.col("_place") - 1) % size, F.floor((F.col("_place") - 1) / size)
+    copy = lambda block, mine: F.struct(block.alias("block"), F.lit(mine).alias("own"))
+    copies = F.array_compact(F.array(copy(own, True), F.when(at >= size - before, copy(own + 1, False)), F.when(at < after, copy(own - 1, False))))
+    everything = placed.withColumn("_copy", F.explode(copies))
+    w = Window.partitionBy("_copy.block").orderBy("_place")
+    return everything.select("*", *[f(w).alias(name) for name, f in specs.items()]).where("_copy.own").drop("_copy", "_place")
+
+
+def ranked(df: DataFrame, order: str, rank: str | None = "rank", dense: str | None = "dense_rank", rows: int | None = None) -> DataFrame:
+    """``df`` with the rank and the dense rank of its rows by ``order`` over the whole
+    frame, nulls last. Rows of each key are counted, the distinct keys are numbered
+    in blocks, and what was found is joined back, so no task sees all rows."""
+    key = F.col(f"`{order}`")
+    keys = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    found = cumulative(keys, "_k", {"_upto": ("sum", "_n"), "_d": ("row_number", None)}, rows)
+    names = [(F.col("_upto") - F.col("_n") + 1).alias(rank)] * bool(rank) + [F.col("_d").alias(dense)] * bool(dense)
+    found = found.select("_k", *names)
+    return df.join(found, key.eqNullSafe(F.col("_k")), "left").drop("_k")

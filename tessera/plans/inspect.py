@@ -22,7 +22,8 @@ def exchanges(df: DataFrame) -> int:
 def gathers_all_rows(df: DataFrame) -> bool:
     """Whether a window puts all rows into one task; what partial aggregates leave
     may well meet in one."""
-    return bool(re.search(r"Window \[.*\n(?:.*Sort.*\n)?.*Exchange SinglePartition", physical_plan(df)))
+    found = re.findall(r"Window \[.*\n(?:.*Sort.*\n)?.*Exchange SinglePartition.*\n((?:.*Project.*\n)?.*)", physical_plan(df))
+    return any("Aggregate" not in below for below in found)
 
 
 def pushed_filters(df: DataFrame) -> list[str]:

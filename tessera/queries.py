@@ -7,6 +7,7 @@ where the order of summation shows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tessera.operators import windows as W
 from tessera.operators.frame import Frame
 from tessera.operators.groups import GroupBy, group_ids
 from tessera.operators.joins import join
-from tessera.sources import construct, files
+from tessera.sources import construct, files, scratch
 from tessera.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,11 +111,11 @@ def p12_series_metadata(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders),
-i AS (SELECT event_id AS position, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id * 3 % 20000 END AS place FROM events WHERE event_id < 500)
+i AS (SELECT event_id AS position, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id * 3 % 20000 END AS place FROM events)
 SELECT position, coalesce(o_orderkey, 0) AS o_orderkey, coalesce(o_totalprice, 0) AS o_totalprice FROM i LEFT JOIN p ON i.place = p.place""")
 def p13_take(spark, sf_dir):
     places = F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.col("event_id") * 3 % 20000)
-    indices = table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_id").alias("position"), places.alias("place"))
+    indices = table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), places.alias("place"))
     return frame(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_totalprice").take(indices).df
 
 
@@ -273,8 +274,15 @@ def a5_variance(spark, sf_dir):
 
 @query("SELECT round(median(value), 6) AS m, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.99), 6) AS q99, round(quantile_cont(value, 0), 6) AS q0 FROM events")
 def a7_quantiles(spark, sf_dir):
-    r = lambda c: F.round(c, 6)
-    return table(spark, sf_dir, "events").agg(r(A.median("value")).alias("m"), r(A.quantile("value", 0.1)).alias("q10"), r(A.quantile("value", 0.99)).alias("q99"), r(A.quantile("value", 0.0)).alias("q0"))
+    out = frame(spark, sf_dir, "events").quantiles("value", m=0.5, q10=0.1, q99=0.99, q0=0.0)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("SELECT event_type, round(median(value), 6) AS m, round(quantile_cont(value, 0.25), 6) AS q25, mode() WITHIN GROUP (ORDER BY CAST(user_id AS BIGINT)) IS NOT NULL AS has_mode FROM events GROUP BY 1")
+def a8_group_quantiles(spark, sf_dir):
+    g = frame(spark, sf_dir, "events").group_by("event_type")
+    both = join(g.quantiles("value", {"m": 0.5, "q25": 0.25}), g.mode("user_id"), "event_type")
+    return both.select("event_type", F.round("m", 6).alias("m"), F.round("q25", 6).alias("q25"), F.col("user_id_mode").isNotNull().alias("has_mode"))
 
 
 @query("SELECT round(skewness(value), 4) AS sk, round(kurtosis(value), 4) AS ku FROM events")
@@ -289,7 +297,7 @@ def a11_correlation(spark, sf_dir):
 
 @query("SELECT p_size AS m FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1")
 def a12_mode(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(A.mode("p_size").alias("m"))
+    return frame(spark, sf_dir, "part").mode("p_size", "m")
 
 
 @query("SELECT arg_min(o_totalprice, o_orderkey) AS f, arg_max(o_totalprice, o_orderkey) AS l, count(DISTINCT o_custkey) AS u FROM orders")
@@ -338,7 +346,8 @@ def g8_group_ids(spark, sf_dir):
 @query("SELECT l_returnflag, l_linestatus, year(l_shipdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(stddev_samp(l_quantity), 4) AS sd, round(var_samp(l_tax), 6) AS va, round(median(l_quantity), 4) AS med FROM lineitem GROUP BY 1, 2, 3")
 def g19_multi_key(spark, sf_dir):
     g = frame(spark, sf_dir, "lineitem").group_by("l_returnflag", "l_linestatus", F.year("l_shipdate").cast("long").alias("y"))
-    return g.agg(r2(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"), r4(A.std("l_quantity")).alias("sd"), F.round(A.variance("l_tax"), 6).alias("va"), r4(A.median("l_quantity")).alias("med"))
+    sums = g.agg(r2(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"), r4(A.std("l_quantity")).alias("sd"), F.round(A.variance("l_tax"), 6).alias("va"))
+    return join(sums, g.quantiles("l_quantity", {"med": 0.5}), ["l_returnflag", "l_linestatus", "y"]).withColumn("med", r4(F.col("med")))
 
 
 @query("SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice_first, arg_max(o_totalprice, o_orderkey) AS o_totalprice_last FROM orders GROUP BY 1")
@@ -381,17 +390,16 @@ def j8_self(spark, sf_dir):
     return join(df, df, on="n_regionkey").drop("n_regionkey")
 
 
-@query("SELECT k, x, y FROM (SELECT o_orderkey AS k, o_totalprice AS x FROM orders WHERE o_orderkey % 3 <> 0) FULL JOIN (SELECT o_orderkey AS k, o_custkey AS y FROM orders WHERE o_orderkey % 2 = 0) USING (k)")
+@query("SELECT k, x, y FROM (SELECT o_orderkey AS k, o_totalprice AS x FROM orders) FULL JOIN (SELECT l_orderkey AS k, count(*) AS y FROM lineitem GROUP BY 1) USING (k)")
 def j10_outer(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
-    a = df.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
-    return join(a, df.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("y")), "k", "outer")
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
+    return join(a, table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("y")), "k", "outer")
 
 
-@query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, nullif(c_custkey % 5, 0) AS k FROM customer WHERE c_custkey < 200) JOIN (SELECT o_orderkey, nullif(o_orderkey % 5, 0) AS k2 FROM orders WHERE o_orderkey < 200) ON k = k2")
+@query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_custkey END AS k FROM customer) JOIN (SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS k2 FROM orders) ON k = k2")
 def j1_null_keys(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey < 200").select("c_custkey", F.nullif(F.col("c_custkey") % 5, F.lit(0)).alias("k"))
-    b = table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", F.nullif(F.col("o_orderkey") % 5, F.lit(0)).alias("k"))
+    a = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey")).alias("k"))
+    b = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("k"))
     return join(a, b, "k").drop("k")
 
 
@@ -473,10 +481,10 @@ def o8_top(spark, sf_dir):
 
 
 # reshape and sets
-@query("SELECT o_orderpriority, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS F, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS O FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS F, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS O, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 2) AS P FROM orders GROUP BY 1")
 def r1_pivot(spark, sf_dir):
-    out = frame(spark, sf_dir, "orders").pivot("o_orderpriority", "o_orderstatus", "o_totalprice", "sum", ["F", "O"]).df
-    return out.select("o_orderpriority", r2(F.col("F")).alias("F"), r2(F.col("O")).alias("O"))
+    out = frame(spark, sf_dir, "orders").pivot("o_orderpriority", "o_orderstatus", "o_totalprice", "sum", ["F", "O", "P"]).df
+    return out.select("o_orderpriority", *[r2(F.col(c)).alias(c) for c in ("F", "O", "P")])
 
 
 @query("SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
@@ -508,8 +516,8 @@ def r5_apply(spark, sf_dir):
 
 
 @query("SELECT n_nationkey, n_nationkey - (SELECT min(n_nationkey) FROM nation) AS d FROM nation")
-def r5_apply_whole(spark, sf_dir):
-    return frame(spark, sf_dir, "nation").select("n_nationkey").apply_whole(lambda df: df.assign(d=df["n_nationkey"] - df["n_nationkey"].min()), "n_nationkey int, d int").df
+def r5_apply_gathered(spark, sf_dir):
+    return frame(spark, sf_dir, "nation").select("n_nationkey").apply_gathered(lambda df: df.assign(d=df["n_nationkey"] - df["n_nationkey"].min()), "n_nationkey int, d int").df
 
 
 # strings, structs, lists
@@ -532,9 +540,22 @@ def x13_lists(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", v.get(3).alias("third"), v.get(999).alias("none"), v.len().alias("n"), r(v.sum()).alias("s"), r(v.mean()).alias("a"), v.min().alias("mn"), v.max().alias("mx"))
 
 
-@query("SELECT count(*) AS n FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, embedding[1] AS first, embedding[64] AS last, round(list_sum(embedding::DOUBLE[]), 6) AS s FROM embeddings")
 def x16_fixed_arrays(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(types.fixed_array(F.col("embedding"), 64).alias("a")).agg(F.count("a").alias("n"))
+    a = table(spark, sf_dir, "embeddings").select("vec_id", types.fixed_array(F.col("embedding"), 64).alias("a"))
+    v = N.List("a")
+    return a.select("vec_id", v.len().alias("n"), v.get(0).alias("first"), v.get(63).alias("last"), F.round(v.sum(), 6).alias("s"))
+
+
+@query("SELECT o_orderkey, o_custkey AS k, o_totalprice AS x, '{\"k\":' || o_custkey || ',\"s\":' || CASE WHEN o_orderstatus = 'O' THEN 'null' ELSE '\"' || o_orderstatus || '\"' END || '}' AS row FROM orders")
+def x10_struct_fields(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", N.struct(k="o_custkey", x="o_totalprice").alias("s"), N.struct(k="o_custkey", s=F.nullif("o_orderstatus", F.lit("O"))).alias("t"))
+    return df.select("o_orderkey", N.field("s", "k").alias("k"), N.field("s", "x").alias("x"), N.row("t").alias("row"))
+
+
+@query("SELECT user_id, list(event_id ORDER BY event_id) AS items, count(*) AS n FROM events GROUP BY 1")
+def x12_list_build(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("items"), F.count(F.lit(1)).alias("n"))
 
 
 # constructors
@@ -549,7 +570,127 @@ def s13_from_records(spark, sf_dir):
     return construct.from_records(spark, [{"n": 1, "age": 30}, {"n": 2}])
 
 
+@query("""SELECT * FROM (VALUES ('Float64', CAST(3 AS BIGINT), CAST(1 AS BIGINT), CAST(4 AS DOUBLE)), ('Float32', 3, 1, 4), ('Int64', 3, 1, 4), ('Int32', 3, 1, 4), ('UInt64', 3, 1, 4), ('UInt32', 3, 1, 4),
+('Bool', 3, 1, 2), ('String', 3, 1, NULL)) t(kind, n, nulls, total)""")
+def s7_nullable_series(spark, sf_dir):
+    """A series of each type with a mask of what is valid."""
+    data = {"Bool": [True, False, True], "String": ["a", "b", "c"]}
+    out = []
+    for kind in ("Float64", "Float32", "Int64", "Int32", "UInt64", "UInt32", "Bool", "String"):
+        df = construct.series(spark, "v", data.get(kind, [1, 2, 3]), kind, valid=[True, False, True])
+        v = F.col("v").cast("int").cast("double") if kind == "Bool" else F.col("v").try_cast("double")
+        out.append(df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), S.count_null("v").alias("nulls"), F.sum(v).alias("total")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT * FROM (VALUES ('Float64', true, true, false, true, false, false, 8), ('Float32', true, true, false, true, false, false, 4), ('Int64', true, false, true, true, false, false, 8), ('Int32', true, false, true, true, false, false, 4),
+('UInt64', true, false, true, false, false, false, 8), ('Bool', false, false, false, false, false, false, 1), ('String', false, false, false, false, false, false, -1), ('DateTime', false, false, false, false, true, false, 8))
+t(kind, is_numeric, is_float, is_integer, is_signed, is_temporal, is_nested, bytes)""")
+def y1_types(spark, sf_dir):
+    names = ("Float64", "Float32", "Int64", "Int32", "UInt64", "Bool", "String", "DateTime")
+    tests = (types.is_numeric, types.is_float, types.is_integer, types.is_signed, types.is_temporal, types.is_nested)
+    rows = [(k, *[t(types.DTYPES[k]) for t in tests], types.byte_size(k)) for k in names]
+    return spark.createDataFrame(rows, "kind string, " + ", ".join(f"{t.__name__} boolean" for t in tests) + ", bytes int")
+
+
+# files: written, and read again
+def _round_trip(spark: SparkSession, df: DataFrame, write: Callable, read: Callable, label: str) -> DataFrame:
+    path = scratch.new_folder(spark, label)
+    write(df, path)
+    return read(spark, path)
+
+
+@query("SELECT c_custkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS segment, c_acctbal > 0 AS owed FROM customer")
+def s15_csv(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), (F.col("c_acctbal") > 0).alias("owed"))
+    return _round_trip(spark, df, lambda d, p: files.write_csv(d, p, delimiter=";", null_value="NA"), lambda s, p: files.read_csv(s, p, delimiter=";", null_values=("NA",)), "csv")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s18_json(spark, sf_dir):
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return _round_trip(spark, df, files.write_json, lambda s, p: files.read_json(s, p, df.schema), "json")
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS event_type, value FROM events")
+def s20_jsonl(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", F.nullif("event_type", F.lit("click")).alias("event_type"), "value")
+    return _round_trip(spark, df, files.write_jsonl, lambda s, p: files.read_jsonl(s, p, df.schema), "jsonl")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def s22_parquet(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    write = lambda d, p: files.write_parquet(d, p, partition_by=["o_orderstatus"])
+    return _round_trip(spark, df, write, lambda s, p: files.read_parquet(s, p, ["o_orderkey", "o_totalprice", "o_orderstatus"]), "parquet")
+
+
+# integers, hashes and what else needs an entry of its own
+@query("""SELECT event_id, CAST(CASE WHEN s > 9223372036854775807 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS a, -(event_id + 5) AS d, event_id * 3 AS m FROM
+(SELECT event_id, CAST(event_id AS HUGEINT) + 9223372036854775000 AS s FROM events)""")
+def e6_integers(spark, sf_dir):
+    """64-bit integers wrap around at the ends."""
+    big = F.lit(9223372036854775000)
+    return table(spark, sf_dir, "events").select("event_id", S.wrapping("add", "event_id", big).alias("a"), S.wrapping("sub", F.lit(-5), "event_id").alias("d"), S.wrapping("mul", "event_id", F.lit(3)).alias("m"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN value END, CASE WHEN event_id % 3 = 0 THEN -value END, CAST(user_id AS DOUBLE)) AS v FROM events")
+def e15_coalesce(spark, sf_dir):
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", S.coalesce(F.when(k % 2 == 0, F.col("value")), F.when(k % 3 == 0, -F.col("value")), F.col("user_id").cast("double")).alias("v"))
+
+
+@query("SELECT event_id, CASE WHEN x IS NOT NULL THEN least(x, 50) END AS lo, CASE WHEN x IS NOT NULL THEN greatest(x, 50) END AS hi, abs(x - 50) AS d FROM (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN value END AS x FROM events)")
+def e25_literal_bounds(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("x"))
+    return df.select("event_id", S.min_with("x", 50.0).alias("lo"), S.max_with("x", 50.0).alias("hi"), F.abs(F.col("x") - 50.0).alias("d"))
+
+
+@query("SELECT o_orderkey, coalesce(s = 'F', false) AS same, coalesce(s <> 'F', false) AS other FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders)")
+def f24_string_equality(spark, sf_dir):
+    s = N.Str(F.nullif("o_orderstatus", F.lit("P")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", s.eq("F").alias("same"), s.ne("F").alias("other"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT (o_custkey)) AS hashes, count(DISTINCT (o_custkey, o_orderstatus)) AS pairs, true AS ordered FROM orders")
+def g17_hashes(spark, sf_dir):
+    """Equal values have equal hashes, and different ones different hashes here."""
+    h = lambda c: S.hash64(F.col(c))
+    both, turned = S.combine_hashes(h("o_custkey"), h("o_orderstatus")), S.combine_hashes(h("o_orderstatus"), h("o_custkey"))
+    return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(h("o_custkey")).alias("hashes"), F.count_distinct(both).alias("pairs"), F.bool_and(both != turned).alias("ordered"))
+
+
+@query("SELECT p_partkey, rank() OVER (ORDER BY p_size) AS r, dense_rank() OVER (ORDER BY p_size) AS d FROM part")
+def w5_whole_ranks(spark, sf_dir):
+    return frame(spark, sf_dir, "part").select("p_partkey", "p_size").with_rank("p_size", "r", "d").df.select("p_partkey", "r", "d")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events")
+def w4_row_number_by_time(spark, sf_dir):
+    """A key of time, made unique by the id."""
+    df = table(spark, sf_dir, "events").select("event_id", F.struct("ts", "event_id").alias("k"))
+    return W.cumulative(df, "k", {"rn": ("row_number", None)}).select("event_id", "rn")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 12")
+def p20_limit(spark, sf_dir):
+    return frame(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey").sort("o_orderkey").limit(12).df
+
+
 # event time; the same functions take streams
+@query("SELECT CAST(s AS TIMESTAMP) AS start, CAST(s AS TIMESTAMP) + INTERVAL '1 hour' AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM (SELECT value, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS s FROM events) GROUP BY 1, 2")
+def t2_sliding(spark, sf_dir):
+    out = stream.windowed(table(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes")
+    return out.withColumn("total", r4(F.col("total")))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '6 hours' THEN 0 ELSE 1 END AS b, event_id FROM events),
+s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
+SELECT min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def t3_sessions(spark, sf_dir):
+    return stream.sessions(table(spark, sf_dir, "events"), "ts", "6 hours", ("user_id",))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def t1_tumbling(spark, sf_dir):
     out = stream.windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",))

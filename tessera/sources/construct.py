@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import typing
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -43,7 +44,7 @@ def from_columns(spark: SparkSession, data: Mapping[str, Sequence], dtypes: Mapp
     if len({len(v) for v in data.values()}) > 1:
         raise ValueError(f"columns of different lengths: { {k: len(v) for k, v in data.items()} }")
     fields = [T.StructField(k, spark_type(dtypes[k]) if dtypes and dtypes.get(k) else infer(v)) for k, v in data.items()]
-    as_is = lambda v, t: float(v) if isinstance(t, T.DoubleType | T.FloatType) and isinstance(v, int) else v
+    as_is = lambda v, t: v if not isinstance(v, int) else float(v) if isinstance(t, T.DoubleType | T.FloatType) else Decimal(v) if isinstance(t, T.DecimalType) else v
     rows = [tuple(as_is(v, f.dataType) for v, f in zip(r, fields)) for r in zip(*data.values())]
     if order:
         fields.append(T.StructField(order, T.LongType()))

@@ -10,6 +10,7 @@ from tessera import display, session, types
 from tessera.functions import aggregates as A
 from tessera.functions import nested as N
 from tessera.functions import semantics as S
+from tessera.operators import quantiles
 from tessera.operators import windows as W
 from tessera.operators.frame import Frame
 from tessera.operators.joins import join
@@ -89,6 +90,56 @@ def test_blocked_windows_equal_plain_ones(spark, monkeypatch):
     assert not inspect.gathers_all_rows(W.shifted(df, "k", shift, 3, 2))
 
 
+def test_blocks_take_keys_of_any_type(spark):
+    """Over several blocks as in one window: text, decimal, time, binary, and nulls at the end."""
+    n = F.col("id") * 37 % 1009
+    kinds = {"text": F.lpad(n.cast("string"), 5, "0"), "decimal": n.cast("decimal(20,3)"), "time": F.timestamp_micros(n * 1_700_000_000), "bytes": F.encode(F.lpad(n.cast("string"), 5, "0"), "utf-8"), "double": n / 7, "day": F.date_add(F.lit("2020-01-01"), n.cast("int"))}
+    for kind, key in kinds.items():
+        df = spark.range(300).select("id", F.when(F.col("id") != 11, key).alias("k"), (F.col("id") % 7).alias("v"))
+        specs, shift = {"s": ("sum", "v"), "n": ("row_number", None)}, {"a": lambda w: W.lag("v", w, 3), "b": lambda w: W.lead("v", w, 2)}
+        for plain, many in ((W.cumulative(df, "k", specs), W.cumulative(df, "k", specs, rows=40)), (W.shifted(df, "k", shift, 3, 2), W.shifted(df, "k", shift, 3, 2, rows=40))):
+            assert sorted(map(str, plain.drop("k").collect())) == sorted(map(str, many.drop("k").collect())), kind
+        assert W.cumulative(df, "k", specs, rows=40).where("k is null").first()["n"] == 300
+
+
+def test_windows_wider_than_a_block(spark):
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 9).alias("v"))
+    shift = {"r": lambda w: W.rolling_sum("v", w, 50), "b": lambda w: W.lead("v", w, 30)}
+    assert sorted(W.shifted(df, "k", shift, 49, 30).collect()) == sorted(W.shifted(df, "k", shift, 49, 30, rows=10).collect())
+
+
+def test_whole_frame_ranks(spark):
+    rows = [(i, None if i % 11 == 0 else i % 6) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    w = W.over("v")
+    want = df.select("*", W.rank(w).alias("rank"), W.dense_rank(w).alias("dense_rank")).collect()
+    for size in (None, 2):
+        assert sorted(map(str, W.ranked(df, "v", rows=size).collect())) == sorted(map(str, want))
+
+
+def test_quantiles_and_modes(spark):
+    rows = [(i % 3, None if i % 10 == 0 else float(i * i % 17)) for i in range(120)] + [(7, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    named = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0, "e": 1.5}
+    want = df.agg(*[A.quantile("v", q).alias(n) for n, q in named.items()]).first()
+    assert [x and round(x, 9) for x in quantiles.quantiles(df, "v", named).first()] == [x and round(x, 9) for x in want]
+    grouped = {r["g"]: r[1:] for r in quantiles.quantiles(df, "v", named, ["g"]).collect()}
+    for r in df.groupBy("g").agg(*[A.quantile("v", q).alias(n) for n, q in named.items()]).collect():
+        assert grouped[r["g"]] == pytest.approx(r[1:])
+    assert quantiles.mode(df, "v").first()[0] == df.agg(A.mode("v")).first()[0]
+    assert sorted(map(str, quantiles.mode(df, "v", "m", ["g"]).collect())) == sorted(map(str, df.groupBy("g").agg(A.mode("v").alias("m")).collect()))
+    assert quantiles.quantiles(df.where("false"), "v", {"c": 0.5}).first()[0] is None
+
+
+def test_signed_zero_and_wrapping(spark):
+    df = spark.createDataFrame([(1.0, -0.0), (-1.0, -0.0), (1.0, 0.0), (6.0, 3.0)], "a double, b double")
+    assert [r[0] for r in df.select(S.ieee_div("a", "b")).collect()] == [-math.inf, math.inf, math.inf, 2]
+    top = (1 << 63) - 1
+    w = spark.createDataFrame([(top, 2), (-top - 1, -1), (None, 1)], "a bigint, b bigint")
+    got = w.select(*[S.wrapping(o, "a", "b") for o in ("add", "sub", "mul")]).collect()
+    assert [tuple(r) for r in got] == [(-top, top - 2, -2), (top, -top, -top - 1), (None, None, None)]
+
+
 def test_rolling_options(spark):
     df = construct.from_columns(spark, {"x": [10.0, None, 30.0, 40.0, 50.0]}, order="o")
     w = W.over("o")
