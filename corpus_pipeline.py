@@ -4,6 +4,14 @@ Each stage works on all that the one before it kept: language identification
 (rejected documents go), near copies by word five-grams at a similarity of 0.8
 (one document of each group stays), benchmark decontamination (contaminated
 documents go), secrets (replaced in the text) and packing into sequences.
+
+Defined cases, for every stage: rows with a null or empty text have no letters and
+are rejected by the first stage, so no later one sees any unless it is called by
+itself, and then keeps them; decisions hold for the rows of one id and text, so
+rows that share an id, or have none, do not take one another along, but in
+near_copies, where rows of one id are one document and those without an id stay;
+repeated rows stay or go together; other columns stay, whatever their names; long
+texts are read whole; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, jaccard, langid, packing, secrets
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +36,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(spark, docs)
+    return secrets.redacted(spark, docs, ledger=new_path(spark, "ledger"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,23 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch at most, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+#: Bytes of a table that may be broadcast, in memory there.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``; a
-    local one is set only where the session names none (tests)."""
+    """Folder that driver and executors share, from ``spark.checkpoint.dir``. Where
+    the session names none, only a local one, whose tasks all see one disk, gets a
+    folder of its own; on a cluster this raises."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(found)
     return found
@@ -56,6 +62,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def broadcasts(rows: int, row_bytes: int) -> bool:
+    """Whether a table of so many rows is within the bound of what is broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def apart(docs: DataFrame, other: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``other`` with names that ``docs`` has none of, and its columns by their old names."""
+    prefix = "_o_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return other.toDF(*[prefix + c for c in other.columns]), lambda c: F.col(prefix + c)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,12 +16,13 @@ table on either side gives no hits; other columns are kept or ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import apart, ascii_lower
 
 #: What stands between words: all of ASCII but digits and lower-case letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -133,15 +134,15 @@ def judge(spark: SparkSession, docs: DataFrame, bench: DataFrame, share: int = 2
     return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def _with(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    other = judged.withColumnsRenamed({c: f"_{c}" for c in judged.columns})
-    return docs.join(other, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_version")), how)
+def _with(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str, how: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    other, of = apart(docs, judged)
+    return docs.join(other, F.col(id_col).eqNullSafe(of("id")) & (F.xxhash64(F.col(text_col)) == of("version")), how), of
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
     judged = judge(spark, docs, bench, id_col=id_col, text_col=text_col, **options).where("contaminated").select("id", "version")
-    return _with(docs, judged, id_col, text_col, "left_anti")
+    return _with(docs, judged, id_col, text_col, "left_anti")[0]
 
 
 def remove_spans(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -150,10 +151,10 @@ def remove_spans(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col:
     judged = judge(spark, docs, bench, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select("id", "version", "spans")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0))
     head = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    hit = lambda i: F.exists("_spans", lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"]))
+    both, of = _with(docs, judged, id_col, text_col, "left")
+    hit = lambda i: F.exists(of("spans"), lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"]))
     kept = F.concat(head, F.array_join(F.filter(pieces, lambda p, i: ~hit(i)), ""))
-    both = _with(docs, judged, id_col, text_col, "left")
-    return both.withColumn(text_col, F.when(F.col("_spans").isNotNull(), kept).otherwise(F.col(text_col))).select(*[F.col(c) for c in docs.columns])
+    return both.withColumn(text_col, F.when(of("spans").isNotNull(), kept).otherwise(F.col(text_col))).select(*[F.col(c) for c in docs.columns])
 
 
 def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:

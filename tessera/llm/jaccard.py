@@ -1,30 +1,38 @@
 """Exact join of documents by the Jaccard similarity of their word shingles.
 
-Jaccard distance is a metric. Texts are nearly all at distance one from any
-pivot, where no triangle inequality can tell them apart, so regions of the space
-are first cut out around documents that share content: a set is divided into
-more slices than two linked sets can differ in, so linked sets have a slice in
-common that holds the same shingles. Documents connected by equal slices make a
-region; no link leaves it. A region falls into parts by the rarest shingles of its
-documents, which linked ones provably share. Within a part pivots create Voronoi cells; a
-document is replicated to every cell whose pivot is no farther from it than its
-nearest one by twice the link distance, which by the triangle inequality keeps
-linked documents together; cells are joined recursively until all their documents
-are known to be connected, or few enough to compare. Every link that is used is
-verified with exact counts.
-
-Documents with equal sets are one from the start. The slices of a map task are
-reduced to one row per distinct slice before they are shuffled, and so are the
-shingles of the census, so what a third of all documents share costs a row per
-task. A region beyond
-``REGION_BYTES`` is not joined in one task: rounds of pivots are compared with
-its documents, dealt over salted blocks, until every document outside its largest
-component has been a pivot.
+Jaccard distance is a metric, and a pivot tells two sets apart only if it shares
+something with them: at distance one from a pivot all look alike. So a document
+only meets pivots with which it has a rare shingle in common. In a global order by
+frequency, linked sets share one of their first shingles (of a set of n, those one
+more than a linked set may lack); the smallest document that has such a shingle there
+is its pivot, and the documents with that pivot are its Voronoi region. Linked
+documents thus have a region in common.
+
+Every region is measured: the distances of its documents to the pivot, in salted
+blocks, so a region of any size is dealt over tasks. By the triangle inequality two
+linked documents are at distances from the pivot that differ by no more than the
+link distance. So a region falls into rings of twice that width, and a document that
+is within it of the next ring is replicated there. Documents linked with the
+pivot are connected; rings of connected documents alone need no more. Larger rings
+get several pivots at a time and fall into Voronoi cells, where a document is
+replicated to every cell whose pivot is no farther than its nearest one by twice the
+link distance; rings and cells of ``LEAF_BYTES`` at most are joined by the same
+means within a task. A document that was a pivot has met all of its region and
+leaves it, so the recursion ends.
+
+Words are named by polynomials over a prime field at two points drawn anew for each
+run, which no text can make collide (two words of n bytes have one name with a
+probability of at most (n / 2**31)**2), shingles by mixing three such names, or as many
+as they have words, to 64 bits. Links are decided by exact counts of names.
+
+Documents with equal sets are one from the start. What the census sends is reduced
+in each map task first, so a shingle that a third of all documents share costs a row
+per task.
 
 First, a census finds the sets that can have a link at all: a linked set lacks a
 bounded share of a set's shingles, so one with more shingles that no other has is
-alone. It looks at a part of the shingles, by hash, that is twice that share. This
-also keeps texts apart that have but some lines in common.
+alone. It looks at a part of the shingles, by hash, that is twice that share. The
+order by frequency starts with that part, too, so only it has to be counted.
 
 Defined cases: null and wordless texts have the empty set, are linked with
 nothing and are their own component; null ids take no part in links and have a
@@ -35,29 +43,24 @@ columns of the input are kept or ignored.
 
 from __future__ import annotations
 
-import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import apart, broadcasts, materialize, small_batches
 from tessera.llm.graph import components
 
-#: Width of a size class; at least the inverse of the threshold.
-CLASS_WIDTH = 1.25
-SLICINGS = 4
-#: Slices that a map task holds before it reduces and emits them.
-RUN_SLICES = 1 << 21
-LOT_BYTES = 4 << 20
-#: Shingle bytes of a region that one task joins.
-REGION_BYTES = 48 << 20
+#: Shingles that a map task holds before it reduces and emits them.
+RUN_SHINGLES = 1 << 21
+LOT_BYTES = 1 << 20
+#: Bytes of shingles of a ring or cell that a task joins, and of a block that is measured.
+LEAF_BYTES, BLOCK_BYTES = 1 << 20, 1 << 20
 PIVOTS, LEAF = 8, 16
-#: Pivots of a round in a region that no single task joins, and documents of its blocks.
-ROUND_PIVOTS, BLOCK_DOCS = 64, 4096
-BROADCAST_IDS = 2_000_000
+PRIME = (1 << 31) - 1
 
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,36 +77,58 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    base = 0x2545F4914F6CDD1D
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, dtype=U), np.full(n, inverse, dtype=U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def fold(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**62 modulo ``PRIME``, which may stand for 0."""
+    x = (x & U(PRIME)) + (x >> U(31))
+    return (x & U(PRIME)) + (x >> U(31))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1, ... modulo ``PRIME``."""
+    out, done, step = np.ones(n, dtype=U), 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = fold(out[:more] * U(step))
+        done, step = done + more, step * step % PRIME
+    return out
+
+
+def draw() -> tuple[int, int]:
+    """Two points for the names of words."""
+    return 2 + secrets.randbelow(PRIME - 3), 2 + secrets.randbelow(PRIME - 3)
 
 
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes."""
 
-    def __init__(self, words: int):
-        self.words, self.up, self.down = words, *powers(1 << 16)
+    def __init__(self, words: int, points: tuple[int, int]):
+        self.words, self.points = words, points
+        self.tables = [powers(x, 64) for x in points]
+
+    def names(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Names of words that lie one after the other in ``data`` with spaces between."""
+        sizes = ends - starts
+        if not len(sizes):
+            return np.zeros(0, dtype=U)
+        at = np.cumsum(sizes) - sizes
+        own = np.arange(sizes.sum()) - np.repeat(at, sizes)  # place of a byte in its word
+        if sizes.max() > len(self.tables[0]):
+            self.tables = [powers(x, int(sizes.max())) for x in self.points]
+        symbols = data[np.repeat(starts, sizes) + own] + U(1)
+        a, b = (np.add.reduceat(fold(symbols * t[own]), at) % U(PRIME) for t in self.tables)
+        return a << U(31) | b
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """The set of each text; the texts of one call are hashed together."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
-        if len(data) + 1 > len(self.up):
-            self.up, self.down = powers(len(data) + 1)
-        space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(space, prepend=True))
+        edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
         starts, ends = edge[::2], edge[1::2]
-        sums = np.concatenate([np.zeros(1, dtype=U), np.cumsum((data.astype(U) + U(1)) * self.up[: len(data)])])
-        hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+        names = self.names(data, starts, ends)
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
         out, n = [], self.words
         for a, b in zip(bounds[:-1], bounds[1:]):
-            h, k = hashes[a:b], min(n, b - a)
+            h, k = names[a:b], min(n, b - a)
             if not k:
                 out.append(np.zeros(0, dtype=U))
                 continue
@@ -114,60 +139,9 @@ class Shingler:
         return out
 
 
-def size_class(n: int) -> tuple[int, int, int]:
-    """(number, least size, largest size) of the class of sets of ``n`` shingles."""
-    low, k = 1, 0
-    while True:
-        high = max(low + 1, math.ceil(low * CLASS_WIDTH))
-        if n < high:
-            return k, low, high - 1
-        low, k = high, k + 1
-
-
-def slicing(low: int, high: int, num: int, den: int) -> tuple[int, int]:
-    """Slices for pairs whose smaller set has ``low`` to ``high`` shingles, and how
-    many of them may be empty. One more than the shingles that two linked sets can
-    differ in, and than the empty ones: some slice with shingles is then common."""
-    differ = (den - num) * (high * den // num) // den
-    empty = 0
-    while differ:
-        t = differ + 1 + empty
-        mean = t * math.exp(-low / t)
-        need = math.ceil(mean + 4 * math.sqrt(mean))
-        if need <= empty or empty >= 4 * (differ + 1):
-            break
-        empty += max(1, (need - empty) // 2)
-    return differ + 1 + empty, empty
-
-
-def plan(n: int, num: int, den: int, known: dict = {}) -> list[tuple[int, int, int]]:  # noqa: B006
-    """(class, slices, empty ones) for a set of ``n`` shingles: its own size class
-    and, if it can be linked with smaller sets there, the one below."""
-    number, low, high = size_class(n)
-    out = []
-    for c in [(number, low, high)] + ([size_class(low - 1)] if low > 1 and n * num <= (low - 1) * den else []):
-        if (c, num, den) not in known:
-            known[c, num, den] = slicing(c[1], c[2], num, den)
-        out.append((c[0], *known[c, num, den]))
-    return out
-
-
-def slices(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The slices of a set as hashes."""
-    n, out = len(s), []
-    for number, t, empty in plan(n, num, den):
-        for turn in range(SLICINGS):
-            tag = U((number * SLICINGS + turn) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
-            at = (mix(s, 11 + turn) % U(t)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            held = np.add.reduceat(mix(s, 5)[order], first)
-            out.append(mix(held + mix(at[order][first].astype(U) + tag)))
-            if t - len(first) <= empty:
-                break
-        else:  # as good as never: what no slice with shingles can promise, the empty ones do
-            out.append(mix(np.setdiff1d(np.arange(t), at).astype(U) + tag, 77))
-    return np.concatenate(out)
+def prefix_size(n, num: int, den: int):
+    """One more than the shingles that a set linked with one of ``n`` may lack of it."""
+    return n + num * n // -den + 1
 
 
 def _lots(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -205,7 +179,7 @@ def _credits(ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": mix(docs.view(U)).view(np.int64), "a": docs, "b": n, "c": None, "n": 1})
 
 
-def _census(words: int, num: int, den: int):
+def _census(words: int, points: tuple[int, int], num: int, den: int):
     """Of each document a row (a, b and c: its set's name; n: 2 + its size) and a row
     (a, b: the sampled shingles of the set, n: -1); of each sampled shingle of a run
     that one set of the run has a row (key, a); what more sets have is credited."""
@@ -218,7 +192,7 @@ def _census(words: int, num: int, den: int):
             yield _credits(i[~(new & last)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, keys, ids, held = Shingler(words), [], [], 0
+        shingler, keys, ids, held = Shingler(words, points), [], [], 0
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
             doc_ids = batch["id"].to_numpy(dtype=np.int64)
@@ -243,7 +217,7 @@ def _census(words: int, num: int, den: int):
                 keys.append(part)
                 ids.append(np.full(len(part), i))
                 held += len(part)
-            if held > RUN_SLICES:
+            if held > RUN_SHINGLES:
                 yield from emit(keys, ids)
                 keys, ids, held = [], [], 0
             key = mix(doc_ids.view(U)).view(np.int64)
@@ -277,66 +251,64 @@ def _credit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _credits(i[more]).drop(columns="key")
 
 
-EDGES = "key bigint, a bigint, b bigint"
-
-
-def _slice_rows(words: int, num: int, den: int):
-    """Of each slice of a run a row (key, a: the smallest document), and edges (a, b)
-    to that document."""
-
-    def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        k, i, new, lead = _leads(keys, ids)
-        yield pd.DataFrame({"key": k[new].view(np.int64), "a": i[new], "b": None})
-        edges = np.unique(np.stack([i, lead])[:, i != lead], axis=1)
-        if edges.shape[1]:
-            yield pd.DataFrame({"key": mix(edges[0].view(U)).view(np.int64), "a": edges[0], "b": edges[1]})
+def _sets(words: int, points: tuple[int, int]):
+    """(id, n, hashes) of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, keys, ids, held = Shingler(words), [], [], 0
+        shingler = Shingler(words, points)
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-            doc_ids = batch["id"].to_numpy(dtype=np.int64)
             for a, b in _lots(texts):
-                for j, s in enumerate(shingler.sets(texts[a:b]), a):
-                    if len(s):
-                        keys.append(slices(s, num, den))
-                        ids.append(np.full(len(keys[-1]), doc_ids[j]))
-                        held += len(keys[-1])
-                if held > RUN_SLICES:
-                    yield from emit(keys, ids)
-                    keys, ids, held = [], [], 0
-        if keys:
-            yield from emit(keys, ids)
+                sets = shingler.sets(texts[a:b])
+                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
 
     return run
 
 
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges pass; slices of one key become edges to their smallest document."""
-    keys, ids = [], []
-    for batch in batches:
-        own = batch["b"].isna().to_numpy()
-        keys.append(batch["key"].to_numpy(dtype=np.int64)[own])
-        ids.append(batch["a"].to_numpy(dtype=np.int64)[own])
-        if not own.all():
-            yield batch.loc[~own, ["a", "b"]]
-    if keys and sum(map(len, keys)):
-        _, i, _, lead = _leads(keys, ids)
-        edges = np.unique(np.stack([i, lead])[:, i != lead], axis=1)
-        if edges.shape[1]:
-            yield pd.DataFrame({"a": edges[0], "b": edges[1]})
+def _first_shingles(num: int, den: int):
+    """(key, id, looked, wanted) of the sampled shingles of each set: how many they
+    are and how many of them, the rarest, belong to its prefix. What a prefix needs
+    beyond them comes by hash, with -1 as ``wanted``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, counts, held = [], [], 0
+            for i, raw in zip(batch["id"].tolist(), batch["hashes"]):
+                s = np.frombuffer(raw, dtype=U)
+                part, need = _sampled(s, num, den), prefix_size(len(s), num, den)
+                n = len(part)
+                if n < need:
+                    more = np.setdiff1d(s, part, assume_unique=True)[: need - n]
+                    keys.append(more)
+                    counts.append((i, n, -1, len(more)))
+                keys.append(part)
+                counts.append((i, n, min(need, n), n))
+                held += n
+                if held > RUN_SHINGLES:
+                    yield rows(keys, counts)
+                    keys, counts, held = [], [], 0
+            if keys:
+                yield rows(keys, counts)
+
+    def rows(keys: list[np.ndarray], counts: list[tuple]) -> pd.DataFrame:
+        i, n, wanted, each = np.array(counts, dtype=np.int64).T
+        return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "id": np.repeat(i, each), "looked": np.repeat(n, each), "wanted": np.repeat(wanted, each)})
+
+    return run
 
 
 class Region:
     """Shingle sets of a region as a sparse matrix, joined by pivots."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None):
         self.num, self.den, self.theta = num, den, 1 - num / den
         self.size = np.array([len(s) for s in sets], dtype=np.int64)
         vocabulary, self.columns = np.unique(np.concatenate(sets), return_inverse=True)
         self.starts = np.concatenate([[0], np.cumsum(self.size)])
         self.mark = np.zeros(len(vocabulary), dtype=np.int32)
-        self.root = list(range(len(sets)))
+        # of members that are connected already, the first is the root
+        self.root = list(range(len(sets))) if labels is None else np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]].tolist()
+        self.compared = self.excluded = 0  # distances computed; members that a window kept out of a cell
 
     def find(self, x: int) -> int:
         while self.root[x] != x:
@@ -347,6 +319,7 @@ class Region:
     def compare(self, pivot: int, members: np.ndarray) -> np.ndarray:
         """Distances of the pivot to the members; links are noted."""
         own = self.columns[self.starts[pivot] : self.starts[pivot + 1]]
+        self.compared += len(members)
         self.mark[own] = 1
         sizes = self.size[members]
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -371,7 +344,7 @@ class Region:
         n, held = len(self.size), np.bincount(self.columns)
         doc = np.repeat(np.arange(n), self.size)
         order = np.lexsort((self.columns, held[self.columns], doc))
-        prefix = self.size + self.num * self.size // -self.den + 1
+        prefix = prefix_size(self.size, self.num, self.den)
         keep = np.arange(len(doc)) - np.repeat(self.starts[:-1], self.size) < np.repeat(prefix, self.size)
         doc, column = doc[order][keep], self.columns[order][keep]
         label = np.arange(n)
@@ -406,6 +379,7 @@ class Region:
                     break
                 inside = distances <= distances.min(axis=0) + 2 * self.theta + 1e-9
                 if inside.sum() < 1.5 * len(members):
+                    self.excluded += int((~inside).sum())
                     todo += [members[cell] for cell in inside[1:] if cell.sum() > 1]
                     members = members[inside[0]]
                     if not len(members):
@@ -416,100 +390,173 @@ class Region:
         return [self.find(x) for x in range(len(self.size))]
 
 
-def _join_regions(num: int, den: int):
-    """Whole regions come one after the other; (id, component) of their documents."""
-
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        root = Region([np.frombuffer(x, dtype=U) for x in rows["hashes"]], num, den).join()
-        ids = rows["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "component": ids[root]})
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``keys``, group by group."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch[k].to_numpy() for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *new.tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and any(held[-1][k].iloc[0] != c[a] for k, c in zip(keys, columns)):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _join_leaves(num: int, den: int):
+    """Whole regions come one after the other; links (a, b) that connect what no
+    label did."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            regions = batch["region"].to_numpy()
-            cuts = [0, *(np.flatnonzero(regions[1:] != regions[:-1]) + 1).tolist(), len(batch)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and held[-1]["region"].iloc[0] != regions[a]:
-                    yield finish(pd.concat(held, ignore_index=True))
-                    held = []
-                held.append(batch.iloc[a:b])
-        if held:
-            yield finish(pd.concat(held, ignore_index=True))
+        for rows in _grouped(batches, ["region"]):
+            region = Region([np.frombuffer(x, dtype=U) for x in rows["hashes"]], num, den, rows["label"].to_numpy())
+            before = list(region.root)
+            root, ids = np.array(region.join()), rows["id"].to_numpy()
+            new = root != before
+            if new.any():
+                yield pd.DataFrame({"a": ids[new], "b": ids[root[new]]})
 
     return run
 
 
-def _hashes(words: int):
+def _measure(num: int, den: int):
+    """Blocks come one after the other, their pivots first; (region, id, pivot,
+    distance, linked) for every document and pivot of a block."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-            for a, b in _lots(texts):
-                sets = shingler.sets(texts[a:b])
-                yield pd.DataFrame({"region": batch["region"].iloc[a:b], "id": batch["id"].iloc[a:b], "hashes": [s.tobytes() for s in sets]})
+        out, held = [], 0
+        for rows in _grouped(batches, ["region", "block"]):
+            n = int(rows["is_pivot"].sum())
+            ids, sets = rows["id"].to_numpy(), [np.frombuffer(x, dtype=U) for x in rows["hashes"]]
+            if n == len(rows):
+                continue
+            size = np.array([len(s) for s in sets[n:]])
+            flat, at = np.concatenate(sets[n:]), np.cumsum(size) - size
+            for pivot, own in zip(ids[:n], sets[:n]):
+                found = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[found] == flat).astype(np.int64), at)
+                union = size + len(own) - both
+                out.append((np.full(len(size), rows["region"].iloc[0]), ids[n:], np.full(len(size), pivot), 1 - both / union, den * both >= num * union))
+                held += len(size)
+            if held > 50_000:
+                yield frame(out)
+                out, held = [], 0
+        if out:
+            yield frame(out)
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(["region", "id", "pivot", "distance", "linked"], map(np.concatenate, zip(*out)))))
 
     return run
 
 
-def _large_regions(spark: SparkSession, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, component) of regions that no single task joins. Each round compares
-    some documents outside the largest component of each region with all of it."""
-    rows = materialize(spark, rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "jaccard-large")
-    blocks = materialize(spark, rows.groupBy("region").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks")), "jaccard-blocks")
-    dealt = materialize(spark, rows.join(blocks, "region").withColumn("block", F.pmod("salt", F.col("blocks"))), "jaccard-dealt")
-    labels = materialize(spark, rows.select("region", "id", F.col("id").alias("label")), "jaccard-labels")
-    links, done = None, None
-
-    def compare(key: tuple, docs: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        own, asked = docs["id"].to_numpy(), pivots["id"].to_numpy()
-        sets = [np.frombuffer(x, dtype=U) for x in [*docs["hashes"], *pivots["hashes"]]]
-        out, members = [], np.arange(len(own))
-        region = Region(sets, num, den)
-        for j in range(len(asked)):
-            region.root = list(range(len(sets)))
-            region.compare(len(own) + j, members)
-            met = region.find(len(own) + j)
-            out += [(int(own[x]), int(asked[j])) for x in members.tolist() if region.find(x) == met]
-        return pd.DataFrame([e for e in out if e[0] != e[1]], columns=["a", "b"]).astype("int64")
-
+def _measured(spark: SparkSession, members: DataFrame, pivots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distances of the members (region, id) to the pivots (region, id) of their
+    region, in blocks of about ``BLOCK_BYTES``, each with its own copy of the pivots."""
+    blocks = members.join(sets.select("id", "n"), "id").groupBy("region").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    own = members.join(blocks, "region").join(sets, "id").select("region", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_pivot"), "id", "hashes")
+    asked = pivots.join(sets, "id").join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_pivot"), "id", "hashes")
+    dealt = own.unionAll(asked).repartition("region", "block").sortWithinPartitions("region", "block", F.desc("is_pivot"), "id")
+    return dealt.mapInPandas(_measure(num, den), "region bigint, id bigint, pivot bigint, distance double, linked boolean")
+
+
+def regions_of(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, id): the pivots that each document meets. Linked documents have one
+    in common; a pivot is in its own region."""
+    first = materialize(spark, sets.select("id", "hashes").mapInPandas(_first_shingles(num, den), "key bigint, id bigint, looked bigint, wanted bigint"), "jaccard-first")
+    counted = first.where("wanted >= 0")
+    often = counted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = counted.join(often, "key")
+    own = Window.partitionBy("id")
+    # the shingles that no other set has come first in the order and make no region
+    alone = F.col("looked") - F.count(F.lit(1)).over(own)
+    ranked = shared.select("key", "id", (F.col("wanted") - alone).alias("left"), F.row_number().over(own.orderBy("often", "key")).alias("place"))
+    prefix = ranked.where("place <= left").select("key", "id").unionAll(first.where("wanted < 0").select("key", "id"))
+    prefix = materialize(spark, prefix, "jaccard-prefix")
+    lead = prefix.groupBy("key").agg(F.min("id").alias("region"), F.max("id").alias("last")).where("region < last").select("key", "region")
+    return prefix.join(lead, "key").select("region", "id").distinct()
+
+
+def rings(measured: DataFrame, theta: float) -> DataFrame:
+    """(region, id): each region's rings around its pivot. Documents whose distances
+    differ by ``theta`` at most have a ring in common."""
+    width = 2 * theta
+    ring = F.floor(F.col("distance") / width).cast("int")
+    near = F.col("distance") >= (ring + 1) * width - theta - 1e-9
+    own = F.explode(F.when(near, F.array(ring, ring + 1)).otherwise(F.array(ring)))
+    return measured.select("region", "id", own.alias("ring")).select(F.xxhash64("region", "ring").alias("region"), "id")
+
+
+def cells(measured: DataFrame, theta: float) -> DataFrame:
+    """(region, id): the Voronoi cells of a region's pivots, with the documents that
+    may be linked with one inside; a region that would not shrink stays whole. The
+    pivots have met all and leave."""
+    rest = measured.join(measured.select("region", F.col("pivot").alias("id")).distinct(), ["region", "id"], "left_anti")
+    near = F.min("distance").over(Window.partitionBy("region", "id"))
+    inside = rest.withColumn("near", near).where(F.col("distance") <= F.col("near") + 2 * theta + 1e-9)
+    shrink = inside.groupBy("region").agg((F.count(F.lit(1)) < 1.5 * F.count_distinct("id")).alias("shrinks"))
+    return inside.join(shrink, "region").select(F.when(F.col("shrinks"), F.xxhash64("region", "pivot")).otherwise(F.col("region")).alias("region"), "id").distinct()
+
+
+def _open(spark: SparkSession, regions: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """(region, id, label) of the regions whose documents are not all connected."""
+    found = components(spark, links).select(F.col("node").alias("id"), "label")
+    rows = materialize(spark, regions.join(found, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), label)
+    more = rows.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
+    return materialize(spark, rows.join(more, "region", "left_semi"), label)
+
+
+def join_sets(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, label) of the documents of ``sets`` (id, n, hashes) that have a link."""
+    theta = 1 - num / den
+    members = materialize(spark, regions_of(spark, sets, num, den), "jaccard-regions")
+    pivots = members.select("region", F.col("region").alias("id")).distinct()
+    measured = materialize(spark, _measured(spark, members, pivots, sets, num, den), "jaccard-measured")
+    links = materialize(spark, measured.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-links")
+    regions = _open(spark, rings(measured, theta), links, "jaccard-rings")
+    leaves = []
     while True:
-        sizes = labels.groupBy("region", "label").count()
-        largest = sizes.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = labels.join(largest, "region").where("label <> main").select("region", "id")
-        if done is not None:
-            outside = outside.join(done, "id", "left_anti")
-        picked = outside.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(ROUND_PIVOTS))).groupBy("region", "slot").agg(F.min("id").alias("id")).select("region", "id")
-        picked = materialize(spark, picked, "jaccard-pivots")
-        if picked.isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
-        asked = picked.join(rows.select("id", "hashes"), "id").join(blocks, "region").select("region", "id", "hashes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        new = dealt.groupBy("region", "block").cogroup(asked.groupBy("region", "block")).applyInPandas(compare, "a bigint, b bigint")
-        new = materialize(spark, new, "jaccard-links")
-        links = new if links is None else links.unionAll(new)
-        done = picked.select("id") if done is None else done.unionAll(picked.select("id"))
-        found = components(spark, links)
-        labels = materialize(spark, rows.select("region", "id").join(found, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("label")), "jaccard-labels")
+        sized = regions.join(sets.select("id", "n"), "id").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
+        large = materialize(spark, sized.where(F.col("bytes") > LEAF_BYTES).select("region"), "jaccard-large")
+        if large.isEmpty():
+            leaves.append(regions)
+            break
+        leaves.append(regions.join(large, "region", "left_anti"))
+        regions = regions.join(large, "region", "left_semi")
+        # pivots of different components, where there are any
+        slot = F.pmod(F.xxhash64("label"), F.lit(PIVOTS))
+        pivots = materialize(spark, regions.groupBy("region", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id")).alias("id")).select("region", "id"), "jaccard-pivots")
+        measured = materialize(spark, _measured(spark, regions.select("region", "id"), pivots, sets, num, den), "jaccard-measured")
+        new = measured.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        links = materialize(spark, links.unionAll(new).distinct(), "jaccard-links")
+        regions = _open(spark, cells(measured, theta), links, "jaccard-cells")
+    whole = leaves[0]
+    for more in leaves[1:]:
+        whole = whole.unionAll(more)
+    dealt = whole.join(sets.select("id", "hashes"), "id").select("region", "id", "label", "hashes").repartition("region").sortWithinPartitions("region", "id")
+    new = dealt.mapInPandas(_join_leaves(num, den), "a bigint, b bigint")
+    return components(spark, links.unionAll(new))
 
 
 def join_documents(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row; two documents are linked when
     den * |intersection| >= num * |union|, and ``component_id`` is the smallest id
     that links lead to."""
-    if CLASS_WIDTH * num < den:
-        raise ValueError("the threshold is too low for the width of size classes")
     small_batches(spark)
+    points = draw()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where(F.col("id").isNotNull())
-    census = known.mapInPandas(_census(words, num, den), CENSUS).repartition("key").mapInPandas(_credit, "a bigint, b bigint, c bigint, n int")
+    census = known.mapInPandas(_census(words, points, num, den), CENSUS).repartition("key").mapInPandas(_credit, "a bigint, b bigint, c bigint, n int")
     census = materialize(spark, census, "jaccard-census")
     rows = census.where("n >= 2").select(F.col("a").alias("id"), (F.col("n") - 2).alias("n_shingles"), F.col("b").alias("s1"), F.col("c").alias("s2"))
     # equal sets: named by their smallest document
-    sets = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    again = sets.where("copies > 1").drop("copies")
+    equal = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    again = equal.where("copies > 1").drop("copies")
     named = rows.join(again, ["s1", "s2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     named = materialize(spark, named, "jaccard-named")
     # a set with more shingles of its own than a linked one can lack has no link
@@ -518,39 +565,18 @@ def join_documents(spark: SparkSession, docs: DataFrame, words: int = 5, num: in
     own = F.col("looked") - F.coalesce("elsewhere", F.lit(0))
     maybe = named.where("rep = id and n_shingles > 0").groupBy("id").agg(F.max("n_shingles").alias("n")).join(looked, F.col("id") == F.col("l_id")).join(elsewhere, F.col("id") == F.col("e_id"), "left").where(own * den <= F.col("n") * (den - num)).select(F.col("id").alias("m_id"))
     maybe = materialize(spark, maybe, "jaccard-maybe")
-    near = maybe.count() <= BROADCAST_IDS
-    candidates = known.join(F.broadcast(maybe) if near else maybe, F.col("id") == F.col("m_id")).select("id", "text")
-    edges = candidates.mapInPandas(_slice_rows(words, num, den), EDGES).repartition("key").mapInPandas(_resolve, "a bigint, b bigint").distinct()
-    region = materialize(spark, components(spark, edges), "jaccard-regions")
-    wanted = region.select(F.col("node").alias("w_id"), F.col("label").alias("region"))
-    if region.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    member = known.join(wanted, F.col("id") == F.col("w_id")).select("region", "id", "text").mapInPandas(_hashes(words), "region bigint, id bigint, hashes binary")
-    member = materialize(spark, member, "jaccard-members")
-    large = materialize(spark, member.groupBy("region").agg(F.sum(F.octet_length("hashes")).alias("bytes")).where(F.col("bytes") > REGION_BYTES).select("region"), "jaccard-sizes")
-    n_large = large.count()
-    small = member.join(large, "region", "left_anti") if n_large else member
-    found = small.repartition("region").sortWithinPartitions("region").mapInPandas(_join_regions(num, den), "id bigint, component bigint")
-    if n_large:
-        found = found.unionAll(_large_regions(spark, member.join(large, "region", "left_semi"), num, den))
-    found = materialize(spark, found.where("component <> id").groupBy("id").agg(F.min("component").alias("component")), "jaccard-found")
-    out = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    unknown = texts.where(F.col("id").isNull())
-    none = unknown.mapInPandas(_sizes(words), "n_shingles bigint").select(F.lit(None).cast("long").alias("id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    wanted = F.broadcast(maybe) if broadcasts(maybe.count(), 64) else maybe
+    sets = known.join(wanted, F.col("id") == F.col("m_id")).select("id", "text").mapInPandas(_sets(words, points), "id bigint, n int, hashes binary")
+    sets = materialize(spark, sets, "jaccard-sets")
+    found = join_sets(spark, sets, num, den).where("label <> node").select(F.col("node").alias("rep"), F.col("label").alias("component"))
+    out = named.join(found, "rep", "left").select("id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    unknown = texts.where(F.col("id").isNull()).mapInPandas(_sets(words, points), "id bigint, n int, hashes binary")
+    none = unknown.select("id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionAll(none).withColumnRenamed("id", id_col)
 
 
-def _sizes(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for batch in batches:
-            yield pd.DataFrame({"n_shingles": [len(shingler.sets([x if isinstance(x, str) else ""])[0]) for x in batch["text"]]})
-
-    return run
-
-
 def without_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document, the smallest id, of each component."""
     found = join_documents(spark, docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone, of = apart(docs, found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct())
+    return docs.join(gone, F.col(id_col) == of("id"), "left_anti")

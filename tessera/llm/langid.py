@@ -29,19 +29,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import apart, broadcasts, materialize, small_batches
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 4000
 #: So many rows of each language are drawn at least, or all that it has.
 LEAST_ROWS = 200
 FULL_WEIGHT = 60
+#: Parts of the labelled rows; a row is scored by a model that has seen no row of its part, so its own label does not count twice.
+FOLDS = 2
+#: Bytes of a text that are taken at a time.
+CHUNK = 1 << 20
 #: How often a declaration, or an address suffix, names the true language.
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.7
 #: Pseudo-counts that pull a host to its domain, and a domain to the corpus.
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 50.0
 LEAST_CONFIDENCE = 0.5
-BROADCAST_ROWS = 200_000
 SALTS = 32
 
 #: Languages that an address ending suggests.
@@ -50,7 +53,12 @@ SUFFIX_LANGUAGE = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "es": "es", "
 
 class Model(NamedTuple):
     languages: tuple[str, ...]
-    log_p: np.ndarray  # BUCKETS x languages
+    log_p: np.ndarray  # FOLDS + 1 x BUCKETS x languages: without the rows of each fold, and by all
+
+
+def fold(*cols: Column) -> Column:
+    """The fold of a row, by its hash: the model without it scores it."""
+    return F.pmod(F.xxhash64(*cols, F.lit(13)), F.lit(FOLDS)).cast("int")
 
 
 def _table() -> np.ndarray:
@@ -62,51 +70,68 @@ def _table() -> np.ndarray:
     return t
 
 
-def trigrams(text: str, table: np.ndarray) -> np.ndarray:
-    """The bucket of every byte trigram of the text, framed by spaces."""
-    a = table[np.frombuffer(b" " + text.encode("utf-8", "replace") + b" ", dtype=np.uint8)]
+def trigrams(framed: bytes, table: np.ndarray) -> np.ndarray:
+    """The bucket of every byte trigram."""
+    a = table[np.frombuffer(framed, dtype=np.uint8)]
     x = a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)
     return (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(18)
 
 
+def counted(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of the text, framed by spaces, and how often each
+    comes; of a long text piece by piece."""
+    raw = b" " + text.encode("utf-8", "replace") + b" "
+    if len(raw) <= CHUNK:
+        return np.unique(trigrams(raw, table), return_counts=True)
+    n = np.zeros(BUCKETS, dtype=np.int64)
+    for at in range(0, len(raw) - 2, CHUNK):
+        n += np.bincount(trigrams(raw[at : at + CHUNK + 2], table), minlength=BUCKETS)
+    return np.flatnonzero(n), n[n > 0]
+
+
 def train(spark: SparkSession, labelled: DataFrame, id_col: str, label_col: str, text_col: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model from about ``sample_rows`` labelled rows, as many of each label as
     can be, picked by their hash."""
     small_batches(spark)
-    known = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)).alias("h"))
+    known = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)).alias("h"), fold(F.col(id_col), F.col(text_col)).alias("fold"))
     known = known.where(F.col("label").isNotNull() & (F.length("text") > 0))
     counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")).collect()  # as many rows as there are languages
     if not counts:
-        return Model((), np.zeros((BUCKETS, 0)))
+        return Model((), np.zeros((FOLDS + 1, BUCKETS, 0)))
     each = max(LEAST_ROWS, sample_rows // len(counts))
     # A label's first hash comes along in any case, so that none goes without a row.
     most = lambda r: max(r["first"], -(1 << 63) + (((1 << 64) - 1) * min(each, r["n"])) // r["n"])
     bounds = spark.createDataFrame([(r["label"], most(r)) for r in counts], "label string, most bigint")
-    sample = known.join(F.broadcast(bounds), "label").where(F.col("h") <= F.col("most")).select("label", "text").repartition(8)
+    sample = known.join(F.broadcast(bounds), "label").where(F.col("h") <= F.col("most")).select("label", "text", "fold").repartition(8)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, found = _table(), {}
         for batch in batches:
-            for label, text in zip(batch["label"], batch["text"]):
+            for label, text, part in zip(batch["label"], batch["text"], batch["fold"]):
                 if isinstance(text, str) and text:
-                    c = np.bincount(trigrams(text, table), minlength=BUCKETS)
-                    found[label] = found.get(label, 0) + c
-        yield pd.DataFrame({"label": list(found), "counts": [c.astype("<i8").tobytes() for c in found.values()]})
+                    at, n = counted(text, table)
+                    c = found.setdefault((label, part), np.zeros(BUCKETS, dtype="<i8"))
+                    c[at] += n
+        yield pd.DataFrame({"label": [x for x, _ in found], "fold": [x for _, x in found], "counts": [c.tobytes() for c in found.values()]})
 
     sums: dict[str, np.ndarray] = {}
-    for r in sample.mapInPandas(count, "label string, counts binary").collect():  # 8 rows a language at most
-        sums[r["label"]] = sums.get(r["label"], 0) + np.frombuffer(r["counts"], dtype="<i8")
+    for r in sample.mapInPandas(count, "label string, fold int, counts binary").collect():  # 8 rows a language and fold at most
+        sums.setdefault(r["label"], np.zeros((FOLDS, BUCKETS)))[r["fold"]] += np.frombuffer(r["counts"], dtype="<i8")
     languages = tuple(sorted(sums))
-    c = np.stack([sums[x] for x in languages], axis=1) + 0.5
-    return Model(languages, np.log(c / c.sum(axis=0)).astype(np.float32))
+    by_fold = np.stack([sums[x] for x in languages], axis=2)
+    every = by_fold.sum(axis=0)
+    parts = [every - part for part in by_fold] + [every]
+    # a language with rows of one fold alone has no other model
+    c = np.stack([np.where(p.sum(axis=0) > 0, p, every) for p in parts]) + 0.5
+    return Model(languages, np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def text_scores(text: str | None, model: Model, table: np.ndarray) -> np.ndarray:
+def text_scores(text: str | None, model: Model, table: np.ndarray, part: int = FOLDS) -> np.ndarray:
     """The tempered log likelihood of the whole text, by language."""
     if not text:
         return np.zeros(len(model.languages))
-    buckets = trigrams(text, table)
-    return model.log_p[buckets].mean(axis=0, dtype=np.float64) * min(FULL_WEIGHT, len(buckets))
+    at, n = counted(text, table)
+    return n @ model.log_p[part][at].astype(np.float64) / n.sum() * min(FULL_WEIGHT, n.sum())
 
 
 def score_rows(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
@@ -119,8 +144,8 @@ def score_rows(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
         table = _table()
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-            scores = [text_scores(x, model, table) for x in texts]
-            out = batch.drop(columns=["text"])
+            scores = [text_scores(x, model, table, part) for x, part in zip(texts, batch["fold"])]
+            out = batch.drop(columns=["text", "fold"])
             out["ll"] = scores
             out["vote"] = [int(s.argmax()) if len(s) and x else -1 for s, x in zip(scores, texts)]
             out["letters"] = [any(map(str.isalpha, x)) for x in texts]
@@ -138,10 +163,10 @@ def _counts(scored: DataFrame, by: str | None, n: int) -> DataFrame:
     return scored.where(F.col(by).isNotNull()).groupBy(F.col(by).alias(f"{by}_key")).agg(counts.alias(f"{by}_counts"))
 
 
-def _join(spark: SparkSession, rows: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+def _join(rows: DataFrame, counts: DataFrame, by: str, n: int) -> DataFrame:
     """Counts of the row's group; a table that is no small one is joined with
     salted keys, so that no group's rows meet in one task."""
-    if counts.count() <= BROADCAST_ROWS:
+    if broadcasts(counts.count(), 200 + 8 * n):
         return rows.join(F.broadcast(counts), F.col(by) == F.col(f"{by}_key"), "left").drop(f"{by}_key")
     salted = counts.withColumn("salt_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, (F.col(by) == F.col(f"{by}_key")) & (F.col("salt") == F.col("salt_key")), "left").drop(f"{by}_key", "salt", "salt_key")
@@ -149,9 +174,10 @@ def _join(spark: SparkSession, rows: DataFrame, counts: DataFrame, by: str) -> D
 
 def identify(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     """(id, lang, confidence, declared, accepted) of each row of (id, text,
-    declared, suffix, host, domain); missing evidence is null."""
+    declared, suffix, host, domain), and of fold where rows may have trained the
+    model; missing evidence is null."""
     n = len(model.languages)
-    keyed = rows.select(F.col("id").cast("string").alias("id"), "declared", "suffix", "host", "domain", "text")
+    keyed = rows.select(F.col("id").cast("string").alias("id"), "declared", "suffix", "host", "domain", "text", F.col("fold") if "fold" in rows.columns else F.lit(FOLDS).alias("fold"))
     if not n:
         return keyed.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("accepted"))
     scored = materialize(spark, score_rows(spark, keyed, model), "langid")
@@ -160,7 +186,7 @@ def identify(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     counts = {by: materialize(spark, _counts(scored, by, n), f"langid-{by}") for by in ("host", "domain")}
     joined = scored
     for by in ("domain", "host"):
-        joined = _join(spark, joined, counts[by], by)
+        joined = _join(joined, counts[by], by, n)
 
     own = lambda k: F.when(F.col("vote") == k, F.lit(1)).otherwise(F.lit(0))
     any_own = F.when(F.col("vote") >= 0, F.lit(1)).otherwise(F.lit(0))
@@ -207,7 +233,7 @@ def identify_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     is no ``model`` yet; the source takes the place of the host."""
     model = model or train(spark, docs, id_col, declared_col, text_col, sample_rows)
     none = F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.substring(F.col(declared_col), 1, 2)).alias("declared"), none.alias("suffix"), F.col(host_col).cast("string").alias("host"), none.alias("domain"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.substring(F.col(declared_col), 1, 2)).alias("declared"), none.alias("suffix"), F.col(host_col).cast("string").alias("host"), none.alias("domain"), fold(F.col(id_col), F.col(text_col)).alias("fold"))
     kind = docs.schema[id_col].dataType.simpleString()
     return identify(spark, rows, model).selectExpr(f"cast(id as {kind}) as {id_col}", "lang", "confidence", "declared", "accepted")
 
@@ -235,5 +261,8 @@ def accepted_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     model = train(spark, docs, id_col, declared_col, text_col, sample_rows)
     evidence = [x for c in (text_col, declared_col, host_col) for x in (F.col(c), F.col(c).isNull())]
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.xxhash64(F.col(id_col).isNull(), *evidence).cast("string"))
-    found = identify_documents(spark, docs.withColumn("_key", key), "_key", text_col, declared_col, host_col, model=model)
-    return docs.join(found.where(~F.col("accepted")).select(F.col("_key").alias("_rejected")).distinct(), key == F.col("_rejected"), "left_anti")
+    # the fold is that of the row's own id, by which the model was trained
+    none = F.lit(None).cast("string")
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"), F.lower(F.substring(F.col(declared_col), 1, 2)).alias("declared"), none.alias("suffix"), F.col(host_col).cast("string").alias("host"), none.alias("domain"), fold(F.col(id_col), F.col(text_col)).alias("fold"))
+    rejected, of = apart(docs, identify(spark, rows, model).where(~F.col("accepted")).select("id").distinct())
+    return docs.join(rejected, key == of("id"), "left_anti")

@@ -22,7 +22,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,6 @@ from tessera.llm.common import materialize, small_batches
 CAPACITY = 4096
 END_ID = 1
 PARTITION_PIECES = 50_000
-MAX_ROUNDS = 8
 #: Share of a sequence that must be free for its pieces to be dealt anew, where
 #: the partition's count is certified and where it is not.
 GAP_CERTIFIED, GAP_OPEN = 0.10, 0.01
@@ -201,7 +200,7 @@ def _pack(capacity: int, turn: int):
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         certified = len(room) == lower_bound(lengths, capacity)
         gap = room >= capacity * (GAP_CERTIFIED if certified else GAP_OPEN)
-        rows["sequence_id"] = (turn << 56) + (TaskContext.get().partitionId() << 32) + bins
+        rows["sequence_id"] = (turn << 48) + (TaskContext.get().partitionId() << 24) + bins  # fewer bins than a partition has pieces
         rows["offset"], rows["gap"] = offsets, gap[bins]
         yield rows
 
@@ -215,7 +214,7 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY
     deal = lambda rows, n, turn: materialize(spark, rows.select(*names).repartition(parts(n)).mapInPandas(_pack(capacity, turn), PACKED), f"packing-{turn}")
     n = pieces.count()
     current, done, before = deal(pieces, n, 0), [], None
-    for turn in range(1, MAX_ROUNDS + 1):
+    for turn in count(1):  # ends by itself: every round saves a sequence
         gaps = current.where("gap")
         left, sequences = gaps.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         if not left or (before == 1):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import ann, decontaminate, extract, jaccard, langid, licenses, packing, secrets, suffix_dedup, warc
+from tessera.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan_documents(spark, _table(spark, sf_dir, "documents")))
+    # first with the base rules; then the ledger holds those pairs, and only the added rules are scanned for
+    docs, ledger = _table(spark, sf_dir, "documents"), new_path(spark, "ledger")
+    secrets.scan_documents(spark, docs, rules=tuple(r for r in secrets.RULES if r.kind in secrets.BASE_KINDS), ledger=ledger)
+    return secrets.digest(secrets.scan_documents(spark, docs, ledger=ledger))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Every version of a text is named by the SHA-256 of its content. A (blob, rule
 version) pair is scanned once; findings are joined back to every path (row) that
 holds the blob. Only narrow columns are grouped by blob, so a blob that a third
-of all rows share costs one row per map task; texts move once, keyed by row.
+of all rows share costs one row per map task. Texts do not move where the rows that
+need no scan, or another one than most, are few enough to be named to every task.
 
 Defined cases: a null text is the empty text; a null id is an id like any other;
 repeated rows each get their result; empty tables give empty results; other
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import apart, broadcasts, materialize, small_batches
 
 
 class Rule(NamedTuple):
@@ -49,7 +50,7 @@ RULES = (
     Rule("pem", "1", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ("private key-----",)),
 )
 
-SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,version:string>>"
 
 
 def find_spans(text: str, rules: tuple[Rule, ...] = RULES, compiled: list | None = None) -> list[tuple[int, int, str, int]]:
@@ -66,53 +67,79 @@ def find_spans(text: str, rules: tuple[Rule, ...] = RULES, compiled: list | None
     return out
 
 
+def _tag(rule: Rule) -> str:
+    return f"{rule.kind}@{rule.version}"
+
+
 def _scan(rules: tuple[Rule, ...]):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = {r.kind: re.compile(r.pattern, r.flags) for r in rules}
-        ranks = {r.kind: i for i, r in enumerate(rules)}
+        known = {r.kind: (i, r.version) for i, r in enumerate(rules)}
         for batch in batches:
             rows = []
             for blob, text, pending in zip(batch["blob"], batch["text"], batch["pending"]):
-                todo = tuple(r for r in rules if r.kind in set(pending))
+                wanted = set(pending)
+                todo = tuple(r for r in rules if _tag(r) in wanted)
                 spans = find_spans(text, todo, [compiled[r.kind] for r in todo])
-                rows.append((blob, list(pending), [(s, ranks[k], k, e) for s, _, k, e in spans]))
+                rows.append((blob, list(pending), [(s, known[k][0], k, e, known[k][1]) for s, _, k, e in spans]))
             yield pd.DataFrame(rows, columns=["blob", "scanned", "spans"])
 
     return scan
 
 
+def _pending(spark: SparkSession, paths: DataFrame, rules: tuple[Rule, ...], ledger: str | None) -> DataFrame:
+    """(id, blob, pending) of every path: the rule versions that its text is to be
+    scanned for. Of paths with one blob only that with the smallest id has any."""
+    tags = F.array(*[F.lit(_tag(r)) for r in rules])
+    none = F.array().cast("array<string>")
+    reps = paths.groupBy("blob").agg(F.min("id").alias("rep"))
+    if ledger and _exists(spark, ledger):
+        done = spark.read.parquet(ledger).select("blob", F.explode("scanned").alias("tag")).where(F.col("tag").isin([_tag(r) for r in rules])).groupBy("blob").agg(F.collect_set("tag").alias("done"))
+        reps = reps.join(done, "blob", "left").select("blob", "rep", F.array_except(tags, F.coalesce("done", none)).alias("todo"))
+    else:
+        reps = reps.withColumn("todo", tags)
+    found = paths.join(reps, "blob").select("id", "blob", F.when(F.col("id").eqNullSafe(F.col("rep")), F.col("todo")).otherwise(none).alias("pending"))
+    return materialize(spark, found.dropDuplicates(["id", "blob"]), "secrets-pending")
+
+
 def scan_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
     """One row (id, blob, spans) per row of ``docs``.
 
-    ``ledger``: a path that holds a row (blob, scanned rule versions, spans) for
-    each blob scanned so far. Pairs that it holds are not scanned again; new
-    ones are appended. Without it every pair counts as unseen.
+    ``ledger``: a path that holds rows (blob, scanned rule versions, spans). Pairs of
+    a blob and a rule version that it holds are not scanned again; new ones are
+    appended. Spans of other versions than those of ``rules`` stay there and out of
+    the result. Without it every pair counts as unseen.
     """
     small_batches(spark)
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    versions = {r.kind: f"{r.kind}@{r.version}" for r in rules}
-    paths = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    reps = paths.groupBy("blob").agg(F.min("id").alias("rep"))
-    old = None
-    if ledger and _exists(spark, ledger):
-        old = spark.read.parquet(ledger)
-        done = old.select("blob", F.explode("scanned").alias("v")).where(F.col("v").isin(list(versions.values()))).groupBy("blob").agg(F.collect_set(F.split("v", "@")[0]).alias("done"))
-        reps = reps.join(done, "blob", "left").select("blob", "rep", F.array_except(kinds, F.coalesce("done", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    paths = texts.select("id", "blob")
+    pending = _pending(spark, paths, rules, ledger)
+    sets = pending.groupBy("pending").count().collect()  # as many rows as there are sets of rules to do, few
+    total = sum(r["count"] for r in sets)
+    main = max((r for r in sets if r["pending"]), key=lambda r: r["count"], default=None)
+    if main is None:
+        unseen = None
+    elif broadcasts(total - main["count"], 160):
+        # most texts are scanned for the same rules: only the others are named to them, and no text moves
+        usual = F.array(*[F.lit(x) for x in main["pending"]])
+        others = pending.where(F.col("pending") != usual).select(F.col("id").alias("o_id"), F.col("blob").alias("o_blob"), F.col("pending").alias("own"))
+        unseen = texts.join(F.broadcast(others), F.col("id").eqNullSafe(F.col("o_id")) & (F.col("blob") == F.col("o_blob")), "left").select("blob", "text", F.coalesce("own", usual).alias("pending")).where(F.size("pending") > 0)
     else:
-        reps = reps.withColumn("pending", kinds)
-    reps = reps.withColumnRenamed("blob", "rep_blob")
-    unseen = paths.join(reps.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("rep_blob"))).select("blob", "text", "pending")
-    found = unseen.mapInPandas(_scan(rules), f"blob binary, scanned array<string>, spans {SPANS}")
+        todo = pending.where(F.size("pending") > 0).select(F.col("id").alias("t_id"), F.col("blob").alias("t_blob"), "pending")
+        unseen = texts.join(todo.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("t_id")) & (F.col("blob") == F.col("t_blob"))).select("blob", "text", "pending")
+    scanned = unseen.mapInPandas(_scan(rules), f"blob binary, scanned array<string>, spans {SPANS}").dropDuplicates(["blob"]) if unseen else None
     if ledger:
-        tag = F.transform("scanned", lambda k: F.concat(k, F.lit("@"), F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)]), k)))
-        new = materialize(spark, found.withColumn("scanned", tag).dropDuplicates(["blob"]), "secrets")
-        new.write.mode("append").parquet(ledger)
-        current = F.filter("spans", lambda x: x["kind"].isin([r.kind for r in rules]))
-        found = spark.read.parquet(ledger).where(F.arrays_overlap("scanned", F.array(*[F.lit(v) for v in versions.values()]))).select("blob", current.alias("spans"))
-        found = found.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        if scanned:
+            materialize(spark, scanned, "secrets").write.mode("append").parquet(ledger)
+        known = spark.read.parquet(ledger) if _exists(spark, ledger) else None
     else:
-        found = found.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    return paths.select("id", "blob").join(found, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+        known = scanned
+    if known is None:  # nothing was ever scanned
+        return paths.select(F.col("id").alias(id_col), "blob", F.array().cast(SPANS).alias("spans"))
+    tag = lambda x: F.concat(x["kind"], F.lit("@"), x["version"])
+    current = F.filter("spans", lambda x: tag(x).isin([_tag(r) for r in rules]))
+    found = known.select("blob", current.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return paths.join(found, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -142,14 +169,16 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(kind), add)
 
 
-def redacted(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
+def redacted(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """``docs`` with each maximal run of spans in ``text`` replaced by ``mark`` and
     ``n_chars`` renewed where that changed a text; no row goes."""
-    dirty = scan_documents(spark, docs, id_col).where(F.size("spans") > 0).dropDuplicates([id_col, "blob"]).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), _merged(F.col("spans")).alias("_spans"))
+    dirty = scan_documents(spark, docs, id_col, ledger=ledger).where(F.size("spans") > 0).dropDuplicates([id_col, "blob"]).select(F.col(id_col).alias("id"), "blob", _merged(F.col("spans")).alias("runs"))
+    dirty, of = apart(docs, dirty)
     own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    both = docs.withColumn("_own", own).join(dirty.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_blob")), "left")
-    text = F.aggregate(F.reverse("_spans"), F.col("text"), lambda t, x: F.overlay(t, F.lit(mark), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
-    both = both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
+    both = docs.join(dirty.hint("shuffle_hash"), F.col(id_col).eqNullSafe(of("id")) & (own == of("blob")), "left")
+    text = F.aggregate(F.reverse(of("runs")), F.col("text"), lambda t, x: F.overlay(t, F.lit(mark), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+    clean = of("runs").isNull()
+    both = both.withColumn("text", F.when(clean, F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        both = both.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return both.select(*[F.col(c) for c in docs.columns])

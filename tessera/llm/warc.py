@@ -228,10 +228,15 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, payload: bool = False) -> DataFrame:
-    """Write ``pages`` to archives and read them back, record by record."""
+    """Write ``pages`` to archives and read them back, record by record; raises where
+    not as many come back as the manifest has."""
     folder = folder or new_path(spark, "warc")
     manifest = write_archives(spark, mark_revisits(pages), folder)
-    return read_archives(spark, manifest, payload=payload)
+    records = materialize(spark, read_archives(spark, manifest, payload=payload), "warc-records")
+    written, read = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if read != written:
+        raise ValueError(f"{written} records were written and {read} were read")
+    return records
 
 
 def digest(records: DataFrame) -> DataFrame:

@@ -239,10 +239,10 @@ def near_copies(rng, n_bases=6, copies=25):
     return texts
 
 
-@pytest.mark.parametrize(("words", "num", "limits"), [(3, 90, None), (5, 80, None), (3, 90, (2000, 8, 16)), (2, 80, (2000, 8, 16))])
+@pytest.mark.parametrize(("words", "num", "limits"), [(3, 90, None), (5, 80, None), (3, 90, (2000, 1500, 4)), (2, 80, (2000, 1500, 4))])
 def test_join_equals_brute_force(spark, monkeypatch, words, num, limits):
     if limits:
-        for name, value in zip(("REGION_BYTES", "ROUND_PIVOTS", "BLOCK_DOCS"), limits):
+        for name, value in zip(("LEAF_BYTES", "BLOCK_BYTES", "LEAF"), limits):
             monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(words * num)
     texts = [None, "", " ", "one", "ONE", "one two", "one two three", "One\ttwo\nthree", "x " * 20_000, *near_copies(rng)]
@@ -252,6 +252,55 @@ def test_join_equals_brute_force(spark, monkeypatch, words, num, limits):
     assert got == components_by_force(texts, ids, words, num)
 
 
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    a = thue_morse(2048)
+    docs = documents(spark, [a, a.translate(str.maketrans("ab", "ba")), a])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_documents(spark, docs, 3, 90).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_windows_replicate_and_exclude(spark):
+    """Rings deal the documents of a region: those beyond a window are kept apart, and
+    linked ones are never."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[: 200 - cut] + [f"x{cut}_{k}_{i}" for i in range(cut)]) for cut in range(0, 150, 3) for k in range(2)]
+    rng.shuffle(texts)
+    shingler = jaccard.Shingler(3, (3, 5))
+    sets = [shingler.sets([t])[0] for t in texts]
+    rows = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "id bigint, n int, hashes binary")
+    members = jaccard.regions_of(spark, rows, 90, 100)
+    measured = jaccard._measured(spark, members, members.select("region", F.col("region").alias("id")).distinct(), rows, 90, 100)
+    dealt = jaccard.rings(measured, 0.1)
+    held = {}
+    for r in dealt.collect():
+        held.setdefault(r["id"], set()).add(r["region"])
+    assert sum(len(x) > 1 for x in held.values())  # replicated
+    together = apart = 0
+    for a in held:
+        for b in held:
+            if a < b:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                meet = bool(held[a] & held[b])
+                together, apart = together + meet, apart + (not meet)
+                assert meet or 100 * both < 90 * (len(sets[a]) + len(sets[b]) - both)
+    assert apart > together / 2  # excluded
+
+
+def test_region_within_a_task_uses_its_windows():
+    rng = np.random.default_rng(3)
+    centres = [np.unique(rng.integers(0, 1 << 60, 120).astype(np.uint64)) for _ in range(3)]
+    shared = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([c[: 120 - k % 30], shared, rng.integers(0, 1 << 60, 12 + k % 9).astype(np.uint64)])) for c in centres for k in range(60)]
+    region = jaccard.Region(sets, 80, 100)
+    root = region.join()
+    assert region.excluded > 0 and region.compared < len(sets) ** 2
+    plain = jaccard.Region(sets, 80, 100)
+    for k in range(len(sets) - 1):
+        plain.compare(k, np.arange(k + 1, len(sets)))
+    assert root == [plain.find(k) for k in range(len(sets))]
+
+
 def test_join_edges(spark):
     docs = documents(spark, ["a b c d"] * 2 + ["a b c d", "e f g h"], [5, 5, None, 7])
     got = sorted((tuple(r) for r in jaccard.join_documents(spark, docs, 3, 90).collect()), key=str)

@@ -213,3 +213,55 @@ def test_benchmark_items_without_an_id_hit(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(decontaminate.ORACLE).fetchall())
     kept = corpus_pipeline.benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_ledger_knows_rule_versions(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    docs = documents(spark, ["password=abcdef " + "ab01" * 6, "clean", None, "password=abcdef " + "ab01" * 6])
+    base = tuple(r for r in secrets.RULES if r.kind in secrets.BASE_KINDS)
+    secrets.scan_documents(spark, docs, rules=base, ledger=ledger)
+    out = secrets.scan_documents(spark, docs, ledger=ledger)
+    assert sorted(len(r["spans"]) for r in out.collect()) == [0, 0, 2, 2]
+    held = [tuple(r["scanned"]) for r in spark.read.parquet(ledger).collect()]
+    # each of the three blobs once with the base rules, then once with the added ones alone
+    assert sorted(map(len, held)) == [3, 3, 3, 4, 4, 4] and not any("hex@1" in x for x in held if len(x) == 4)
+    newer = (base[0]._replace(version="2", least=7), *base[1:])
+    spans = [s for r in secrets.scan_documents(spark, docs, rules=newer, ledger=ledger).collect() for s in r["spans"]]
+    assert {s["kind"] for s in spans} == {"hex"}  # what version 1 of the rule found is no finding of version 2
+
+
+def test_no_texts_move_where_few_rows_need_none(spark, monkeypatch):
+    from tessera.llm import common
+
+    docs = documents(spark, ["password=abcdef", "x", "x", None])
+    want = sorted(map(str, secrets.scan_documents(spark, docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, secrets.scan_documents(spark, docs).collect())) == want
+
+
+def test_stages_with_clashing_names_and_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "12 34", None, None, 5)], real.schema)
+    extra = ["_id", "_o_id", "version", "blob", "spans", "_key", "id", "region"]
+    docs = real.unionAll(real.limit(2)).unionAll(odd)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(c))
+    docs = corpus_pipeline.materialize(spark, docs, "odd")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(spark, stage(spark, docs, sf), name)
+        assert docs.columns == [*real.columns, *extra]
+        assert docs.where("doc_id >= 1000000").isEmpty() and 0 < docs.count() <= n
+        assert stage(spark, docs.where("false"), sf).isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_long_texts_are_scored_piece_by_piece(monkeypatch):
+    table = langid._table()
+    text = "the quick brown fox é " * 300
+    whole = langid.counted(text, table)
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    for a, b in zip(whole, langid.counted(text, table)):
+        assert (a == b).all()
