@@ -59,6 +59,8 @@ RUN_SHINGLES = 1 << 21
 LOT_BYTES = 1 << 20
 #: Bytes of shingles of a ring or cell that a task joins, and of a block that is measured.
 LEAF_BYTES, BLOCK_BYTES = 1 << 20, 1 << 20
+#: And of the pivots that a region which does not shrink meets in a round.
+PIVOT_BYTES = 2 << 20
 PIVOTS, LEAF = 8, 16
 PRIME = (1 << 31) - 1
 
@@ -424,25 +426,33 @@ def _join_leaves(num: int, den: int):
     return run
 
 
-def _measure(num: int, den: int):
+def _measure(num: int, den: int, every: bool):
     """Blocks come one after the other, their pivots first; (region, id, pivot,
-    distance, linked) for every document and pivot of a block."""
+    distance, linked) for every document and pivot of a block, or for linked ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
         for rows in _grouped(batches, ["region", "block"]):
             n = int(rows["is_pivot"].sum())
-            ids, sets = rows["id"].to_numpy(), [np.frombuffer(x, dtype=U) for x in rows["hashes"]]
             if n == len(rows):
                 continue
+            ids, sets, region = rows["id"].to_numpy(), [np.frombuffer(x, dtype=U) for x in rows["hashes"]], rows["region"].iloc[0]
             size = np.array([len(s) for s in sets[n:]])
-            flat, at = np.concatenate(sets[n:]), np.cumsum(size) - size
-            for pivot, own in zip(ids[:n], sets[:n]):
-                found = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[found] == flat).astype(np.int64), at)
+            at = np.cumsum(size) - size
+            known, column = np.unique(np.concatenate(sets[n:]), return_inverse=True)
+            mark = np.zeros(len(known) + 1, dtype=np.int32)
+            for pivot, own in zip(ids[:n].tolist(), sets[:n]):
+                place = np.searchsorted(known, own)
+                place = place[known[np.minimum(place, len(known) - 1)] == own]
+                mark[place] = 1
+                both = np.add.reduceat(mark[column], at)
+                mark[place] = 0
                 union = size + len(own) - both
-                out.append((np.full(len(size), rows["region"].iloc[0]), ids[n:], np.full(len(size), pivot), 1 - both / union, den * both >= num * union))
-                held += len(size)
+                linked = den * both >= num * union
+                take = slice(None) if every else linked
+                told = ids[n:][take]
+                out.append((np.full(len(told), region), told, np.full(len(told), pivot), (1 - both / union)[take], linked[take]))
+                held += len(told)
             if held > 50_000:
                 yield frame(out)
                 out, held = [], 0
@@ -455,14 +465,14 @@ def _measure(num: int, den: int):
     return run
 
 
-def _measured(spark: SparkSession, members: DataFrame, pivots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _measured(spark: SparkSession, members: DataFrame, pivots: DataFrame, sets: DataFrame, num: int, den: int, every: bool = True) -> DataFrame:
     """Distances of the members (region, id) to the pivots (region, id) of their
     region, in blocks of about ``BLOCK_BYTES``, each with its own copy of the pivots."""
     blocks = members.join(sets.select("id", "n"), "id").groupBy("region").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
     own = members.join(blocks, "region").join(sets, "id").select("region", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_pivot"), "id", "hashes")
     asked = pivots.join(sets, "id").join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_pivot"), "id", "hashes")
     dealt = own.unionAll(asked).repartition("region", "block").sortWithinPartitions("region", "block", F.desc("is_pivot"), "id")
-    return dealt.mapInPandas(_measure(num, den), "region bigint, id bigint, pivot bigint, distance double, linked boolean")
+    return dealt.mapInPandas(_measure(num, den, every), "region bigint, id bigint, pivot bigint, distance double, linked boolean")
 
 
 def regions_of(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -493,24 +503,41 @@ def rings(measured: DataFrame, theta: float) -> DataFrame:
 
 
 def cells(measured: DataFrame, theta: float) -> DataFrame:
-    """(region, id): the Voronoi cells of a region's pivots, with the documents that
-    may be linked with one inside; a region that would not shrink stays whole. The
-    pivots have met all and leave."""
+    """(region, id, shrinks): the Voronoi cells of a region's pivots, with the documents
+    that may be linked with one inside; a region that would not shrink stays whole.
+    The pivots have met all and leave."""
     rest = measured.join(measured.select("region", F.col("pivot").alias("id")).distinct(), ["region", "id"], "left_anti")
     near = F.min("distance").over(Window.partitionBy("region", "id"))
     inside = rest.withColumn("near", near).where(F.col("distance") <= F.col("near") + 2 * theta + 1e-9)
     shrink = inside.groupBy("region").agg((F.count(F.lit(1)) < 1.5 * F.count_distinct("id")).alias("shrinks"))
-    return inside.join(shrink, "region").select(F.when(F.col("shrinks"), F.xxhash64("region", "pivot")).otherwise(F.col("region")).alias("region"), "id").distinct()
+    return inside.join(shrink, "region").select(F.when(F.col("shrinks"), F.xxhash64("region", "pivot")).otherwise(F.col("region")).alias("region"), "id", "shrinks").distinct()
 
 
 def _open(spark: SparkSession, regions: DataFrame, links: DataFrame, label: str) -> DataFrame:
     """(region, id, label) of the regions whose documents are not all connected."""
     found = components(spark, links).select(F.col("node").alias("id"), "label")
-    rows = materialize(spark, regions.join(found, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), label)
+    rows = materialize(spark, regions.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")), label)
     more = rows.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
     return materialize(spark, rows.join(more, "region", "left_semi"), label)
 
 
+def _swept(spark: SparkSession, regions: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links with those of regions (region, id, label) that no pivots split: what
+    is outside the largest component of a region meets all of it, as pivots of
+    ``PIVOT_BYTES`` or so at a time, and leaves."""
+    while not regions.isEmpty():
+        main = regions.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        outside = materialize(spark, regions.join(main, "region").where("label <> main").join(sets.select("id", "n"), "id").select("region", "id", "n"), "jaccard-outside")
+        lots = outside.groupBy("region").agg(F.ceil(F.sum("n") * 8 / PIVOT_BYTES).alias("lots"), F.min_by("id", F.xxhash64("id")).alias("one"))
+        # one at least, so that every round brings the end nearer
+        mine = (F.pmod(F.xxhash64("id"), F.col("lots")) == 0) | (F.col("id") == F.col("one"))
+        pivots = materialize(spark, outside.join(lots, "region").where(mine).select("region", "id").distinct(), "jaccard-pivots")
+        new = _measured(spark, regions.select("region", "id"), pivots, sets, num, den, every=False).where("id <> pivot")
+        links = materialize(spark, links.unionAll(new.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "jaccard-links")
+        regions = _open(spark, regions.join(pivots, ["region", "id"], "left_anti"), links, "jaccard-swept")
+    return links
+
+
 def join_sets(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, label) of the documents of ``sets`` (id, n, hashes) that have a link."""
     theta = 1 - num / den
@@ -533,8 +560,10 @@ def join_sets(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataF
         pivots = materialize(spark, regions.groupBy("region", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id")).alias("id")).select("region", "id"), "jaccard-pivots")
         measured = materialize(spark, _measured(spark, regions.select("region", "id"), pivots, sets, num, den), "jaccard-measured")
         new = measured.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        links = materialize(spark, links.unionAll(new).distinct(), "jaccard-links")
-        regions = _open(spark, cells(measured, theta), links, "jaccard-cells")
+        links = materialize(spark, links.unionAll(new), "jaccard-links")
+        found = _open(spark, cells(measured, theta), links, "jaccard-cells")
+        links = _swept(spark, found.where("not shrinks").drop("shrinks"), links, sets, num, den)
+        regions = found.where("shrinks").drop("shrinks")
     whole = leaves[0]
     for more in leaves[1:]:
         whole = whole.unionAll(more)
