@@ -1,15 +1,21 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is normalised, turned by a random orthogonal matrix (from a seed)
-and kept as one bit per dimension with a correction scalar: the inner product of
-the turned vector and its code. From the packed bits and that scalar the inner
-product with a query is estimated without bias; the error bound of the estimate
-decides which vectors are reranked by the exact cosine in double precision.
-
-Rows are dealt evenly into blocks, queries into blocks of their own; each pair of
-blocks is searched in a task of bounded size, and its best rows per query are
-merged. A vector is indexed whatever its values, so recall depends on the bound
-alone (``EPSILON`` standard errors), not on a partition of the space.
+Every vector is normalised, turned by ``ROTATIONS`` random orthogonal matrices (from a
+seed) and kept as one bit per dimension and rotation with a correction scalar for each:
+the inner product of the turned vector and its code. A query is turned, too, and cut
+to ``PLANES`` bits per dimension, so its inner product with a code is a sum of popcounts
+of words: code AND plane of the query. With the correction it is an unbiased estimate
+of the cosine, whose error bound shrinks with the rotations.
+
+Rows are dealt evenly into blocks, queries into blocks of their own, and each pair of
+blocks is searched in a task of bounded size, on codes alone: what may be among a
+query's best of the block by the bounds is a candidate. The bounds of all blocks
+together leave fewer of them, and those get their vectors by a join on ids and are
+reranked by the exact cosine in double precision. Of rows with equal vectors only the
+smallest ids that can be among the best take part, so a vector that a third of all
+rows share gives no more candidates than another. A vector is indexed whatever its
+values, so recall depends on the bound alone (``EPSILON`` standard errors), not on a
+partition of the space.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without an id, take no part; vectors of different length
@@ -28,21 +34,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import materialize, small_batches
 
 SEED = 20
+ROTATIONS, PLANES = 4, 6
 EPSILON = 2.4
 ROW_BLOCK, QUERY_BLOCK = 20_000, 2_048
-#: Rows that are reranked first, to learn what the others must beat.
-FIRST = 32
 
-INDEX = "vec_id bigint, dim int, code binary, correction double, vec array<double>"
+INDEX = "vec_id bigint, dim int, code binary, correction binary, vec array<double>"
+
+U = np.uint64
+
+
+def rotations(dim: int, seed: int = SEED) -> np.ndarray:
+    """Random orthogonal matrices side by side, the same in every task."""
+    out = []
+    for k in range(ROTATIONS):
+        q, r = np.linalg.qr(np.random.default_rng([seed, dim, k]).standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.hstack(out)
+
+
+def turn(vectors: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """(rows, rotations, dimensions) of the normalised and turned vectors."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    return (unit @ by).reshape(len(vectors), ROTATIONS, -1)
 
 
-def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def words(bits: np.ndarray) -> np.ndarray:
+    """The last axis as 64-bit words."""
+    packed = np.packbits(bits, axis=-1)
+    pad = -packed.shape[-1] % 8
+    return np.ascontiguousarray(np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, pad)])).view(U)
 
 
 def usable(vec: Column) -> Column:
@@ -51,11 +75,10 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(numbers, lambda x: x != 0.0), F.lit(False))
 
 
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed sign bits and correction scalars of the rows of ``vectors``."""
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    turned = scaled / np.linalg.norm(scaled, axis=1, keepdims=True) @ turn
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(vectors.shape[1])
+def encode(vectors: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the sign bits, and correction scalars, of each row and rotation."""
+    turned = turn(vectors, by)
+    return words(turned > 0), np.abs(turned).sum(axis=2) / math.sqrt(vectors.shape[1])
 
 
 def build_index(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED) -> DataFrame:
@@ -67,56 +90,60 @@ def build_index(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", ve
         for batch in batches:
             for dim, part in batch.groupby(batch["vec"].map(len)):
                 if dim not in turns:
-                    turns[dim] = rotation(dim, seed)
+                    turns[dim] = rotations(dim, seed)
                 codes, correction = encode(np.stack(part["vec"].to_numpy()), turns[dim])
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "dim": dim, "code": [c.tobytes() for c in codes], "correction": correction, "vec": part["vec"].to_numpy()})
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "dim": dim, "code": [c.tobytes() for c in codes], "correction": [c.tobytes() for c in correction], "vec": part["vec"].to_numpy()})
 
     clean = rows.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
     return clean.mapInPandas(run, INDEX)
 
 
-def _exact(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarray:
-    # summed row by row, so that equal vectors have equal scores wherever they stand
-    return (vectors * q).sum(axis=1) / (norms * np.sqrt((q * q).sum()))
-
-
-def search_block(ids, codes, correction, vectors, query_ids, queries, k: int, turn: np.ndarray, epsilon: float = EPSILON) -> list[tuple]:
-    """(query id, vec id, score) of the best ``k`` rows of a block for each query."""
-    dim = vectors.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    error = epsilon * np.sqrt(np.maximum(0.0, 1 - correction**2)) / correction / math.sqrt(max(1, dim - 1))
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
-    turned = (scaled / np.linalg.norm(scaled, axis=1, keepdims=True) @ turn).astype(np.float32)
+def estimate(codes: np.ndarray, ones: np.ndarray, correction: np.ndarray, query: np.ndarray, dim: int) -> tuple[np.ndarray, float]:
+    """Estimated cosines of the rows with a turned query (rotations, dimensions), and
+    the largest step of its dimensions; ``ones``: set bits of each row and rotation."""
+    low, high = query.min(axis=1, keepdims=True), query.max(axis=1, keepdims=True)
+    step = np.maximum(high - low, 1e-12) / ((1 << PLANES) - 1)
+    levels = np.rint((query - low) / step).astype(np.uint8)
+    inside = np.zeros(ones.shape, dtype=np.int64)
+    for b in range(PLANES):
+        plane = words(levels >> b & 1)
+        inside += np.bitwise_count(codes & plane).sum(axis=2, dtype=np.int64) << b
+    held = low[:, 0] * ones + step[:, 0] * inside  # what the dimensions with a set bit add up to
+    whole = low[:, 0] * dim + step[:, 0] * levels.sum(axis=1, dtype=np.int64)
+    return ((2 * held - whole) / correction).mean(axis=1) / math.sqrt(dim), float(step.max())
+
+
+def search_block(ids: np.ndarray, codes: np.ndarray, correction: np.ndarray, dim: int, query_ids: np.ndarray, queries: np.ndarray, k: int, by: np.ndarray, epsilon: float = EPSILON) -> list[tuple]:
+    """(query ids, vec ids, lower bounds, upper bounds) of the rows of a block that may
+    be among the best ``k`` of each query."""
+    error = epsilon * np.sqrt(np.maximum(0.0, 1 - correction**2) / correction**2 / max(1, dim - 1)).mean(axis=1) / math.sqrt(ROTATIONS)
+    ones, turned = np.bitwise_count(codes).sum(axis=2, dtype=np.int64), turn(queries, by)
+    repeated = len(np.unique(ids)) < len(ids)
     out = []
-    for at in range(0, len(queries), 64):
-        guess = (turned[at : at + 64] @ signs.T) / math.sqrt(dim) / correction
-        for j, row in enumerate(guess, at):
-            row[ids == query_ids[j]] = -np.inf
-            upper = row + error
-            first = np.argpartition(-row, FIRST)[:FIRST] if len(row) > FIRST else np.arange(len(row))
-            first = first[np.isfinite(row[first])]
-            scores = _exact(vectors[first], norms[first], queries[j])
-            known = np.unique(ids[first])
-            limit = -np.inf
-            if len(known) >= k:
-                best = pd.Series(scores).groupby(ids[first]).max().to_numpy()
-                limit = np.partition(best, len(best) - k)[len(best) - k]
-            take = np.flatnonzero((upper >= limit - 1e-6) & np.isfinite(row))
-            scores = _exact(vectors[take], norms[take], queries[j])
-            found = 0
-            seen = set()
-            for i in np.lexsort((ids[take], -scores)):
-                vec_id = int(ids[take[i]])
-                if vec_id not in seen:
-                    seen.add(vec_id)
-                    out.append((int(query_ids[j]), vec_id, float(scores[i])))
-                    found += 1
-                    if found == k:
-                        break
+    for own, query in zip(query_ids.tolist(), turned):
+        guess, step = estimate(codes, ones, correction, query, dim)
+        bound = error + epsilon * step / math.sqrt(ROTATIONS) + 1e-9
+        low = np.where(ids == own, -np.inf, guess - bound)
+        best = pd.Series(low).groupby(ids).max().to_numpy() if repeated else low
+        limit = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else -np.inf
+        take = np.flatnonzero((guess + bound >= limit) & (ids != own))
+        out.append((np.full(len(take), own), ids[take], low[take], (guess + bound)[take]))
     return out
 
 
+def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The exact cosine of each pair, summed row by row, so that equal vectors have
+    equal scores wherever they stand."""
+    for batch in batches:
+        score = np.zeros(len(batch))
+        dims = batch["vec"].map(len).to_numpy()
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            v, q = (np.stack(batch[c].to_numpy()[at]).astype(np.float64) for c in ("vec", "query"))
+            score[at] = (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+        yield pd.DataFrame({"query_id": batch["query_id"], "vec_id": batch["vec_id"], "score": score})
+
+
 def nearest(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows of ``index`` to
     each row of ``queries`` (rows of an index, too)."""
@@ -124,20 +151,29 @@ def nearest(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int =
     row_blocks, query_blocks = max(1, math.ceil(rows / ROW_BLOCK)), max(1, math.ceil(asked / QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("rb", block(row_blocks)).withColumn("qb", each(query_blocks))
+    # of rows with one vector, which all have one score, the smallest ids can be found alone
+    same = Window.partitionBy(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"), "dim").orderBy("vec_id")
+    codes = index.select("vec_id", "dim", "code", "correction", F.dense_rank().over(same).alias("place")).where(F.col("place") <= k + 1).drop("place")
+    left = codes.withColumn("rb", block(row_blocks)).withColumn("qb", each(query_blocks))
     right = queries.select("vec_id", "dim", "vec").withColumn("qb", block(query_blocks)).withColumn("rb", each(row_blocks))
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
         for dim, qs in asked.groupby("dim"):
             part = rows[rows["dim"] == dim]
             if len(part):
-                qs = qs.drop_duplicates("vec_id")
-                codes = np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
-                out += search_block(part["vec_id"].to_numpy(), codes, part["correction"].to_numpy(), np.stack(part["vec"].to_numpy()), qs["vec_id"].to_numpy(), np.stack(qs["vec"].to_numpy()), k, rotation(dim, seed))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                codes = np.frombuffer(b"".join(part["code"]), dtype=U).reshape(len(part), ROTATIONS, -1)
+                correction = np.frombuffer(b"".join(part["correction"])).reshape(len(part), ROTATIONS)
+                out += search_block(part["vec_id"].to_numpy(), codes, correction, dim, qs["vec_id"].to_numpy(), np.stack(qs["vec"].to_numpy()), k, rotations(dim, seed))
+        return pd.DataFrame(dict(zip(["query_id", "vec_id", "low", "high"], map(np.concatenate, zip(*out)))))
+
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, "query_id bigint, vec_id bigint, low double, high double")
+    found = materialize(spark, found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "ann-candidates")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+    limit = found.select("query_id", "low", place.alias("place")).where(F.col("place") == k).select("query_id", F.col("low").alias("limit"))
+    left_over = found.join(limit, "query_id", "left").where(F.col("limit").isNull() | (F.col("high") >= F.col("limit"))).select("query_id", "vec_id")
+    pairs = left_over.join(index.select("vec_id", "vec"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")), "query_id").where(F.size("vec") == F.size("query"))
+    scored = pairs.select("query_id", "vec_id", "vec", "query").mapInPandas(_rerank, "query_id bigint, vec_id bigint, score double")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
