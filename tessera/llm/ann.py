@@ -8,10 +8,10 @@ of words: code AND plane of the query. With the correction it is an unbiased est
 of the cosine, whose error bound shrinks with the rotations.
 
 Rows are dealt evenly into blocks, queries into blocks of their own, and each pair of
-blocks is searched in a task of bounded size, on codes alone: what may be among a
-query's best of the block by the bounds is a candidate. The bounds of all blocks
-together leave fewer of them, and those get their vectors by a join on ids and are
-reranked by the exact cosine in double precision. Of rows with equal vectors only the
+blocks is searched in a task of bounded size, on codes alone, twice: first for the
+rows with the best lower bounds, which over all blocks give each query a limit, then
+for those whose upper bound reaches the limit. These get their vectors by a join on
+ids and are reranked by the exact cosine in double precision. Of rows with equal vectors only the
 smallest ids that can be among the best take part, so a vector that a third of all
 rows share gives no more candidates than another. A vector is indexed whatever its
 values, so recall depends on the bound alone (``EPSILON`` standard errors), not on a
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, small_batches
 
 SEED = 20
-ROTATIONS, PLANES = 4, 6
+ROTATIONS, PLANES = 16, 4
 EPSILON = 2.4
 ROW_BLOCK, QUERY_BLOCK = 20_000, 2_048
 
@@ -104,30 +104,38 @@ def estimate(codes: np.ndarray, ones: np.ndarray, correction: np.ndarray, query:
     low, high = query.min(axis=1, keepdims=True), query.max(axis=1, keepdims=True)
     step = np.maximum(high - low, 1e-12) / ((1 << PLANES) - 1)
     levels = np.rint((query - low) / step).astype(np.uint8)
-    inside = np.zeros(ones.shape, dtype=np.int64)
+    inside = np.zeros(ones.shape, dtype=np.int32)
     for b in range(PLANES):
         plane = words(levels >> b & 1)
-        inside += np.bitwise_count(codes & plane).sum(axis=2, dtype=np.int64) << b
+        for k in range(codes.shape[2]):
+            inside += np.bitwise_count(codes[:, :, k] & plane[:, k]).astype(np.int32) << b
     held = low[:, 0] * ones + step[:, 0] * inside  # what the dimensions with a set bit add up to
     whole = low[:, 0] * dim + step[:, 0] * levels.sum(axis=1, dtype=np.int64)
     return ((2 * held - whole) / correction).mean(axis=1) / math.sqrt(dim), float(step.max())
 
 
-def search_block(ids: np.ndarray, codes: np.ndarray, correction: np.ndarray, dim: int, query_ids: np.ndarray, queries: np.ndarray, k: int, by: np.ndarray, epsilon: float = EPSILON) -> list[tuple]:
-    """(query ids, vec ids, lower bounds, upper bounds) of the rows of a block that may
-    be among the best ``k`` of each query."""
+def search_block(ids: np.ndarray, codes: np.ndarray, correction: np.ndarray, dim: int, query_ids: np.ndarray, queries: np.ndarray, k: int, by: np.ndarray, limits: np.ndarray | None = None, epsilon: float = EPSILON) -> list[tuple]:
+    """(query ids, vec ids, lower bounds) of rows of a block for each query: with
+    ``limits``, all whose upper bound reaches the query's; else the ``k`` ids with the
+    largest lower bounds."""
     error = epsilon * np.sqrt(np.maximum(0.0, 1 - correction**2) / correction**2 / max(1, dim - 1)).mean(axis=1) / math.sqrt(ROTATIONS)
     ones, turned = np.bitwise_count(codes).sum(axis=2, dtype=np.int64), turn(queries, by)
     repeated = len(np.unique(ids)) < len(ids)
     out = []
-    for own, query in zip(query_ids.tolist(), turned):
+    for j, (own, query) in enumerate(zip(query_ids.tolist(), turned)):
         guess, step = estimate(codes, ones, correction, query, dim)
-        bound = error + epsilon * step / math.sqrt(ROTATIONS) + 1e-9
+        # a dimension of the query is off by a third of a step or so
+        bound = error + epsilon * step / 3 / math.sqrt(ROTATIONS) + 1e-9
         low = np.where(ids == own, -np.inf, guess - bound)
-        best = pd.Series(low).groupby(ids).max().to_numpy() if repeated else low
-        limit = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else -np.inf
-        take = np.flatnonzero((guess + bound >= limit) & (ids != own))
-        out.append((np.full(len(take), own), ids[take], low[take], (guess + bound)[take]))
+        if limits is not None:
+            take = np.flatnonzero((guess + bound >= limits[j]) & (ids != own))
+        elif repeated:
+            best = pd.Series(low).groupby(ids).idxmax().to_numpy()
+            take = best[np.argsort(-low[best])[:k]]
+        else:
+            take = np.argpartition(-low, k)[:k] if len(low) > k else np.arange(len(low))
+        take = take[np.isfinite(low[take])]
+        out.append((np.full(len(take), own), ids[take], low[take]))
     return out
 
 
@@ -149,29 +157,32 @@ def nearest(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int =
     each row of ``queries`` (rows of an index, too)."""
     rows, asked = index.count(), queries.count()
     row_blocks, query_blocks = max(1, math.ceil(rows / ROW_BLOCK)), max(1, math.ceil(asked / QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n, key="vec_id": F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # of rows with one vector, which all have one score, the smallest ids can be found alone
     same = Window.partitionBy(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"), "dim").orderBy("vec_id")
     codes = index.select("vec_id", "dim", "code", "correction", F.dense_rank().over(same).alias("place")).where(F.col("place") <= k + 1).drop("place")
     left = codes.withColumn("rb", block(row_blocks)).withColumn("qb", each(query_blocks))
-    right = queries.select("vec_id", "dim", "vec").withColumn("qb", block(query_blocks)).withColumn("rb", each(row_blocks))
+    right = queries.select(*[F.col(c).alias(f"asked_{c}") for c in ("vec_id", "dim", "vec")]).withColumn("qb", block(query_blocks, "asked_vec_id")).withColumn("rb", each(row_blocks))
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
-        for dim, qs in asked.groupby("dim"):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for dim, qs in asked.groupby("asked_dim"):
             part = rows[rows["dim"] == dim]
             if len(part):
                 codes = np.frombuffer(b"".join(part["code"]), dtype=U).reshape(len(part), ROTATIONS, -1)
                 correction = np.frombuffer(b"".join(part["correction"])).reshape(len(part), ROTATIONS)
-                out += search_block(part["vec_id"].to_numpy(), codes, correction, dim, qs["vec_id"].to_numpy(), np.stack(qs["vec"].to_numpy()), k, rotations(dim, seed))
-        return pd.DataFrame(dict(zip(["query_id", "vec_id", "low", "high"], map(np.concatenate, zip(*out)))))
+                out += search_block(part["vec_id"].to_numpy(), codes, correction, dim, qs["asked_vec_id"].to_numpy(), np.stack(qs["asked_vec"].to_numpy()), k, rotations(dim, seed), qs["limit"].to_numpy() if "limit" in qs else None)
+        return pd.DataFrame(dict(zip(["query_id", "vec_id", "low"], map(np.concatenate, zip(*out)))))
 
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, "query_id bigint, vec_id bigint, low double, high double")
-    found = materialize(spark, found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "ann-candidates")
+    kind = "query_id bigint, vec_id bigint, low double"
+    search = lambda asked: left.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(run, kind)
+    # first what each query can be sure of, over all blocks; then what may be better
+    sure = search(right).groupBy("query_id", "vec_id").agg(F.max("low").alias("low"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
-    limit = found.select("query_id", "low", place.alias("place")).where(F.col("place") == k).select("query_id", F.col("low").alias("limit"))
-    left_over = found.join(limit, "query_id", "left").where(F.col("limit").isNull() | (F.col("high") >= F.col("limit"))).select("query_id", "vec_id")
+    limit = materialize(spark, sure.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("low").alias("limit")), "ann-limits")
+    limited = right.join(limit, F.col("asked_vec_id") == F.col("query_id"), "left").drop("query_id").withColumn("limit", F.coalesce("limit", F.lit(float("-inf"))))
+    left_over = search(limited).select("query_id", "vec_id").distinct()
     pairs = left_over.join(index.select("vec_id", "vec"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")), "query_id").where(F.size("vec") == F.size("query"))
     scored = pairs.select("query_id", "vec_id", "vec", "query").mapInPandas(_rerank, "query_id bigint, vec_id bigint, score double")
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
