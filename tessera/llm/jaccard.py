@@ -79,18 +79,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def fold(x: np.ndarray) -> np.ndarray:
-    """Numbers below 2**62 modulo ``PRIME``, which may stand for 0."""
-    x = (x & U(PRIME)) + (x >> U(31))
-    return (x & U(PRIME)) + (x >> U(31))
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base**0, base**1, ... modulo ``PRIME``."""
     out, done, step = np.ones(n, dtype=U), 1, base
     while done < n:
         more = min(done, n - done)
-        out[done : done + more] = fold(out[:more] * U(step))
+        out[done : done + more] = out[:more] * U(step) % U(PRIME)
         done, step = done + more, step * step % PRIME
     return out
 
@@ -117,7 +111,7 @@ class Shingler:
         if sizes.max() > len(self.tables[0]):
             self.tables = [powers(x, int(sizes.max())) for x in self.points]
         symbols = data[np.repeat(starts, sizes) + own] + U(1)
-        a, b = (np.add.reduceat(fold(symbols * t[own]), at) % U(PRIME) for t in self.tables)
+        a, b = (np.add.reduceat(symbols * t[own] % U(PRIME), at) % U(PRIME) for t in self.tables)
         return a << U(31) | b
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
