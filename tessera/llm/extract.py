@@ -3,8 +3,15 @@
 A page becomes text blocks in page order. A linear classifier's score is a
 block's capacity to the source (content) or to the sink (boilerplate);
 neighbours in the page and in the DOM are joined by smoothness edges that weigh
-less the farther apart they are. The minimum cut, found by maximum flow, labels
-all blocks of a page at once. Pages are independent, so nothing is shuffled.
+less the farther apart they are, and little where the page itself declares them
+to be of different kinds. The minimum cut, found by maximum flow, labels all
+blocks of a page at once. Pages are independent, so nothing is shuffled.
+
+What elements and their names declare has fixed weights. The weights of a block's
+text and form are fitted (``fit_weights``): in about ``sample_pages`` pages, chosen
+by the hash of id and html, blocks within content elements are examples of content,
+those within boilerplate elements of boilerplate, and a logistic regression moves
+the weights from their prior values. A corpus without such elements keeps these.
 
 Defined cases: a null or empty html, or a page without content, has the empty
 text; null ids and urls are passed through; repeated rows each get a row; empty
@@ -15,12 +22,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
 
@@ -48,33 +57,63 @@ WORDS = re.compile(
 GOOD_WORDS = re.compile(r"(?:\b|_)(?:article\w*|post(?:-?(?:content|body|text))?|entry(?:-?content)?|content|story|main|body-?text|articlebody)(?:\b|_)", re.IGNORECASE)
 SENTENCE = re.compile(r"[.!?…]['\"»)”]?(?:\s|$)")
 
-#: Weights of the classifier: log-odds that a block is content.
-W_BIAS, W_BOILERPLATE, W_WORDS, W_CONTENT, W_GOOD, W_LINKS, W_LENGTH, W_SENTENCE, W_HEADING, W_PARAGRAPH, W_LIST = -1.0, -9.0, -8.0, 4.0, 1.5, -4.0, 1.5, 0.8, 0.4, 0.8, -0.4
-#: Weight of an edge between neighbours in the page, and between siblings.
-SMOOTH_PAGE, SMOOTH_DOM = 0.8, 0.5
+#: Log-odds of content that the page declares: a boilerplate element or name around
+#: the block, a content element or name around it.
+DECLARED = (-9.0, -8.0, 4.0, 1.5)
+#: Prior log-odds by text and form: constant, share of link text, length, sentence,
+#: heading, paragraph, item of a list or table.
+PRIOR = (-1.0, -4.0, 1.5, 0.8, 0.4, 0.8, -0.4)
+#: Standard deviation of the prior. Pages of a corpus share templates, so the sample
+#: counts as so many independent blocks of each label only, however large it is.
+PRIOR_SD, EVIDENCE = 1.0, 100.0
+SAMPLE_PAGES = 2000
+#: Weight of an edge between neighbours in the page, and between siblings; share of
+#: it that is left where the declarations around the two differ.
+SMOOTH_PAGE, SMOOTH_DOM, CONTRAST = 2.4, 1.0, 0.1
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[int, ...]
-    score: float
+    parent: int  # number of the element around the block's own
+    climb: int  # steps in the DOM from the block before
+    declared: tuple[bool, bool, bool, bool]
+    form: tuple[float, ...]
+
+
+class Element(NamedTuple):
+    tag: str
+    number: int
+    declared: tuple[bool, bool, bool, bool]  # by itself or an element around it
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page in order, each with its score."""
+    """Text blocks of a page in order, each with its features."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, what it adds to the score, content
+    stack = [Element("", 0, (False, False, False, False))]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = plain = links = number = 0
+    # depth of the last block, and the least depth since
+    before = least = 1
     at, end = 0, len(page)
 
+    def cut(k: int) -> None:
+        nonlocal least
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+        least = min(least, k)
+
     def close() -> None:
-        nonlocal linked, plain
+        nonlocal linked, plain, before, least
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack), _score(text, stack, linked / max(1, linked + plain))))
+                depth, own = len(stack), stack[-1]
+                form = _form(text, own.tag, linked / max(1, linked + plain))
+                out.append(Block(text, stack[-2].number if depth > 1 else 0, before + depth - 2 * least, own.declared, form))
+                before = least = depth
         linked = plain = 0
 
     while at < end:
@@ -106,19 +145,20 @@ def blocks_of(page: str) -> list[Block]:
             close()
             links = 0
             if closing:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if k:
-                    del stack[k:]
+                if opened[name]:
+                    cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
                 continue
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ENDS.get(name, ()):
-                    del stack[k:]
-                elif stack[k][0] not in ("p",):
+                if stack[k].tag in ENDS.get(name, ()):
+                    cut(k)
+                elif stack[k].tag not in ("p",):
                     break
             if name in VOID or attributes.endswith("/"):
                 continue
             number += 1
-            stack.append((name, number, *_context(name, attributes)))
+            opened[name] += 1
+            around = stack[-1].declared
+            stack.append(Element(name, number, tuple(x or y for x, y in zip(around, _declared(name, attributes)))))
     close()
     return out
 
@@ -137,48 +177,47 @@ def _after(page: str, at: int, name: str) -> int:
     return len(page) if name in RAW_TEXT else at
 
 
-def _context(name: str, attributes: str) -> tuple[float, bool]:
-    """What an element adds to the score of its blocks; whether it marks content."""
-    score = W_BOILERPLATE if name in BOILERPLATE else 0.0
-    said = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
-    if said and name not in ("html", "body"):
-        if WORDS.search(said):
-            score = min(score, W_WORDS)
-        elif GOOD_WORDS.search(said):
-            score += W_GOOD
-    return score, name in CONTENT
-
-
-def _score(text: str, stack: list, link_share: float) -> float:
-    score = W_BIAS + min(x[2] for x in stack) + max(0.0, max(x[2] for x in stack))
-    if any(x[3] for x in stack):
-        score += W_CONTENT
-    score += W_LINKS * link_share
-    score += W_LENGTH * min(1.0, len(text) / 120.0)
-    score += W_SENTENCE if SENTENCE.search(text) else 0.0
-    last = stack[-1][0]
-    if last in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        score += W_HEADING
-    elif last in ("p", "blockquote", "pre"):
-        score += W_PARAGRAPH
-    elif last in ("li", "td", "th", "dd", "dt"):
-        score += W_LIST
-    return score
+def _declared(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is of boilerplate, is named so, is of content, is named so."""
+    said = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes and name not in ("html", "body") else ""
+    bad = bool(said and WORDS.search(said))
+    return name in BOILERPLATE, bad, name in CONTENT, bool(said and not bad and GOOD_WORDS.search(said))
+
+
+def _form(text: str, tag: str, link_share: float) -> tuple[float, ...]:
+    """Features of a block's text and form, in the order of ``PRIOR``."""
+    return (
+        1.0,
+        link_share,
+        min(1.0, len(text) / 120.0),
+        1.0 if SENTENCE.search(text) else 0.0,
+        1.0 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0,
+        1.0 if tag in ("p", "blockquote", "pre") else 0.0,
+        1.0 if tag in ("li", "td", "th", "dd", "dt") else 0.0,
+    )
+
+
+def score_of(block: Block, weights: tuple[float, ...] = PRIOR) -> float:
+    """Log-odds that a block is content. Of boilerplate declared twice the stronger counts."""
+    element, name, content, good = block.declared
+    bad = min(DECLARED[0] * element, DECLARED[1] * name)
+    return bad + DECLARED[2] * content + DECLARED[3] * good + sum(w * x for w, x in zip(weights, block.form))
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: between neighbours in the page, by their distance in the
     DOM, and between each block and the next of the same parent."""
     out, last = [], {}
+
+    def add(i: int, j: int, w: float) -> None:
+        out.append((i, j, w if blocks[i].declared[:3] == blocks[j].declared[:3] else w * CONTRAST))
+
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = next((k for k, (x, y) in enumerate(zip(a, b.path)) if x != y), min(len(a), len(b.path)))
-            out.append((i - 1, i, SMOOTH_PAGE / (1.0 + len(a) + len(b.path) - 2 * common)))
-        parent = b.path[-2] if len(b.path) > 1 else b.path[-1]
-        if last.get(parent, i) < i - 1:
-            out.append((last[parent], i, SMOOTH_DOM))
-        last[parent] = i
+            add(i - 1, i, SMOOTH_PAGE / (1.0 + b.climb))
+        if last.get(b.parent, i) < i - 1:
+            add(last[b.parent], i, SMOOTH_DOM)
+        last[b.parent] = i
     return out
 
 
@@ -245,23 +284,76 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
                 break
 
 
-def labelled(page: str) -> list[tuple[str, bool]]:
+def examples_of(page: str) -> Iterator[tuple[tuple[float, ...], bool]]:
+    """Features and label of the blocks that the page's elements label: within a
+    boilerplate element, or within a content element and nothing of boilerplate."""
+    for b in blocks_of(page):
+        element, name, content, _ = b.declared
+        if element or (content and not name):
+            yield b.form, not element
+
+
+def fit_weights(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> tuple[float, ...]:
+    """Weights of text and form, fitted on about ``sample_pages`` pages. Tasks sum up
+    the examples by features rounded to eighths, each page with the same weight, so
+    the driver gets at most one row for each possible combination."""
+    n = pages.count()
+    share = min(1.0, sample_pages / max(n, 1))
+    hashed = pages.select(F.col(html_col).alias("html"), F.xxhash64(id_col, html_col).alias("hash")).where("html is not null")
+    chosen = hashed.where(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
+    names = [f"x{k}" for k in range(len(PRIOR))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums: Counter[tuple] = Counter()
+            for page in batch["html"]:
+                found = Counter((*(int(8 * x) for x in form), int(label)) for form, label in examples_of(page))
+                for key, times in found.items():
+                    sums[key] += times / found.total()
+            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=[*names, "label", "weight"])
+
+    sums = chosen.mapInPandas(run, ", ".join(f"{x} int" for x in [*names, "label"]) + ", weight double")
+    rows = sums.groupBy(*names, "label").agg(F.sum("weight").alias("weight")).orderBy(*names, "label").collect()
+    return _posterior(np.array([list(r)[:-2] for r in rows]) / 8.0, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows])) if rows else PRIOR
+
+
+def _posterior(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Most likely weights of a logistic regression under the prior, by Newton's steps."""
+    prior = np.array(PRIOR)
+    of = [weight[label == k].sum() for k in (0, 1)]
+    if not min(of) > 0:
+        return PRIOR
+    weight = weight * EVIDENCE / np.where(label == 1, of[1], of[0])
+    w = prior.copy()
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-(x @ w)))
+        slope = x.T @ (weight * (label - p)) - (w - prior) / PRIOR_SD**2
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / PRIOR_SD**2
+        step = np.linalg.solve(bend, slope)
+        w += step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(v) for v in np.round(w, 6))
+
+
+def labelled(page: str, weights: tuple[float, ...] = PRIOR) -> list[tuple[str, bool]]:
     """The blocks of a page, and whether each is content."""
     blocks = blocks_of(page)
-    return list(zip([b.text for b in blocks], minimum_cut([b.score for b in blocks], edges_of(blocks))))
+    return list(zip([b.text for b in blocks], minimum_cut([score_of(b, weights) for b in blocks], edges_of(blocks))))
 
 
-def main_text(page: str | None) -> str:
-    return " ".join(text for text, content in labelled(page) if content) if page else ""
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
+    return " ".join(text for text, content in labelled(page, weights) if content) if page else ""
 
 
-def extract_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of each page."""
     small_batches(spark, 500)
+    weights = fit_weights(spark, pages, id_col, html_col, sample_pages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(x if isinstance(x, str) else None) for x in batch["html"]]
+            texts = [main_text(x if isinstance(x, str) else None, weights) for x in batch["html"]]
             yield pd.DataFrame({"key": batch["key"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     rows = pages.selectExpr(f"cast({id_col} as string) as key", f"{url_col} as url", f"{html_col} as html")

@@ -193,6 +193,56 @@ def test_extraction(spark):
     assert extract.extract_pages(spark, pages.where("false")).count() == 0
 
 
+SMOOTH = """<html><body><div><a href="/x">Start</a></div><div><p>A long paragraph stands here, with words enough to be one of an article.</p>
+<p>Yes</p><p>Another long paragraph follows it, and it says as much as the one before it did.</p></div><div><a href="/y">More</a></div></body></html>"""
+
+
+def test_cut_mends_labels():
+    blocks = extract.blocks_of(SMOOTH)
+    scores = [extract.score_of(b) for b in blocks]
+    want = [False, True, True, True, False]
+    assert [s > 0 for s in scores] == [False, True, False, True, False]
+    assert extract.minimum_cut(scores, extract.edges_of(blocks)) == want
+    # what a page declares to be of another kind is left to itself
+    ad = SMOOTH.replace("<p>Yes</p>", '<div class="ad"><p>Buy this cheap thing now.</p></div>')
+    assert [x for _, x in extract.labelled(ad)] == [False, True, False, True, False]
+
+
+def test_fitted_weights(spark):
+    # in this corpus articles are lists of short items, and boilerplate is in sentences
+    nav = "<nav><p>A long and proper sentence that only tells how to use this site at all.</p></nav>"
+    html = [f"<body>{nav}<article><ul><li>item {k}</li><li>thing {k}</li></ul></article></body>" for k in range(40)]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    weights = extract.fit_weights(spark, pages)
+    assert weights[6] > extract.PRIOR[6] and weights[5] < extract.PRIOR[5]
+    held = extract.blocks_of("<body><div><ul><li>item a</li></ul></div></body>")[0]
+    assert extract.score_of(held, weights) > 0 > extract.score_of(held)
+    assert extract.fit_weights(spark, pages.where("false")) == extract.PRIOR
+    plain = pages.selectExpr("page_id", "url", "'<p>no declared part</p>' as html")
+    assert extract.fit_weights(spark, plain) == extract.PRIOR
+
+
+def test_climb_is_the_distance_in_the_dom():
+    rng = random.Random(8)
+    for _ in range(50):
+        page, path, paths, number = [], (0,), [], 0
+        for _ in range(40):
+            if rng.random() < 0.5 or len(path) == 1:
+                number += 1
+                path += (number,)
+                page.append("<div>")
+            else:
+                path = path[:-1]
+                page.append("</div>")
+            if rng.random() < 0.4:
+                page.append(f"t{number}")
+                paths.append(path)
+        blocks, common = extract.blocks_of("".join(page)), lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert [b.climb for b in blocks[1:]] == [len(a) + len(b) - 2 * common(a, b) for a, b in zip(paths, paths[1:])]
+    deep = extract.main_text("<div>" * 50_000 + "<p>" + "Deep words of a long sentence stand here, and more of them. " * 3)
+    assert deep.startswith("Deep words")
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
