@@ -1,6 +1,7 @@
 """Secrets, licences, decontamination and language identification."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -91,6 +92,41 @@ def test_license_matches_are_all_above_the_threshold(spark):
     assert got == {0: [("a", 0.9), ("b", 1.0)], 1: [], 2: [], 3: [("b", 1.0)]}
 
 
+def test_long_licenses_equal_brute_force(spark):
+    rng = random.Random(6)
+    common = [f"c{k}" for k in range(12)]
+    template = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else f"t{rng.randint(0, 80)}" for _ in range(n))
+    templates = tuple((f"l{k}", template(n)) for k, n in enumerate((12, 40, 90, 150)))
+    noise = lambda: " ".join(rng.choice([*common, "x", "y"]) for _ in range(rng.randint(0, 60)))
+    texts = ["", noise()]
+    for _ in range(60):
+        w = rng.choice(templates)[1].split()
+        for _ in range(rng.randint(0, len(w) // 2)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["x"], [w[at], "y"], [rng.choice(w)]])
+        texts.append(f"{noise()} {' '.join(w)} {noise()}")
+    got = {r["id"]: {m["label"]: round(m["share"], 9) for m in r["matches"]} for r in licenses.find_licenses(spark, documents(spark, texts), templates=templates, threshold=0.9).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        w, want = text.split(), {}
+        for label, t in templates:
+            s, span = set(t.split()), licenses._span(t)
+            best = max((len(s & set(w[k : k + span])) for k in range(len(w))), default=0)
+            if best >= licenses._need(len(s), 0.9):
+                want[label] = round(best / len(s), 9)
+        assert got[i] == want
+        hits += len(want)
+    assert 20 < hits < 60
+
+
+def test_whole_license_texts(spark):
+    long = [(x, t) for x, t in licenses.TEMPLATES if len(t.split()) > 30]
+    edited = [" ".join(w for k, w in enumerate(t.split()) if k % 60 != 59) for _, t in long]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.digest(licenses.find_licenses(spark, documents(spark, edited))).collect()}
+    assert all(label in got[k] for k, (label, _) in enumerate(long))
+    assert got[[x for x, _ in long].index("isc")] == ["isc"]
+
+
 def test_licenses_wrapped_over_lines(spark):
     texts = {
         "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
