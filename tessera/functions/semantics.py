@@ -16,11 +16,11 @@ def _c(x) -> Column:
 def ieee_div(a, b) -> Column:
     """Infinite or NaN on division by zero, null only where an operand is."""
     a, b = _c(a).cast("double"), _c(b).cast("double")
-    # only its text tells a negative zero, as both zeros are equal
-    positive = (a > 0) == (b.cast("string") != "-0.0")
-    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(positive, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    # multiplied, zero by zero is the processor's own NaN, as in SQL, not a literal one with
+    # another sign bit; only its text tells a negative zero, as both zeros are equal
+    turned = F.when(b.cast("string") == "-0.0", F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     # nullif: the branch not taken must not divide by zero either
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b != 0, a / F.nullif(b, F.lit(0.0))).otherwise(by_zero)
+    return F.when(b == 0, a * turned).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
 def compare(a, b, op: str) -> Column:

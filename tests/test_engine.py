@@ -256,3 +256,17 @@ def test_stream_equals_batch(spark, tmp_path):
     pick = lambda df: sorted((str(r["start"]), r["n"]) for r in df.collect())
     assert pick(spark.table("t_stream")) == pick(batch)
     assert stream.sessions(events, "ts", "5 minutes", ("user_id",)).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_division_of_zero_by_zero_has_the_bits_of_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    rows = "SELECT i AS event_id, CASE i // 15 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN -0.0::DOUBLE WHEN 2 THEN -2.5 WHEN 3 THEN 'nan'::DOUBLE ELSE 2.5 END AS value FROM range(75) t(i)"
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    bits = lambda pdf: pdf[pdf["event_id"] % 5 != 0].sort_values("event_id")["q"].to_numpy().view(np.uint64).tolist()
+    assert bits(QUERIES["e2_divide"](spark, str(tmp_path)).toPandas()) == bits(con.sql(ORACLE_SQL["e2_divide"]).df())
