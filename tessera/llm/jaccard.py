@@ -8,17 +8,18 @@ more than a linked set may lack); the smallest document that has such a shingle
 is its pivot, and the documents with that pivot are its Voronoi region. Linked
 documents thus have a region in common.
 
-Every region is measured: the distances of its documents to the pivot, in salted
-blocks, so a region of any size is dealt over tasks. By the triangle inequality two
-linked documents are at distances from the pivot that differ by no more than the
-link distance. So a region falls into rings of twice that width, and a document that
-is within it of the next ring is replicated there. Documents linked with the
-pivot are connected; rings of connected documents alone need no more. Larger rings
-get several pivots at a time and fall into Voronoi cells, where a document is
-replicated to every cell whose pivot is no farther than its nearest one by twice the
-link distance; rings and cells of ``LEAF_BYTES`` at most are joined by the same
-means within a task. A document that was a pivot has met all of its region and
-leaves it, so the recursion ends.
+Every region is measured: the distances of its documents to the pivot. By the
+triangle inequality two linked documents are at distances from the pivot that differ
+by no more than the link distance. So a region falls into rings of twice that width,
+and a document that is within it of the next ring is replicated there. Documents
+linked with the pivot are connected; rings of connected documents alone need no more.
+A region of ``LEAF_BYTES`` at most is sent once, to one task, and measured and joined
+there. The sets of larger regions are set apart; these regions are measured in salted
+blocks, so that one of any size is dealt over tasks. Their rings above that size get
+several pivots at a time and fall into Voronoi cells, where a document is replicated to
+every cell whose pivot is no farther than its nearest one by twice the link distance;
+smaller rings and cells are joined by the same means within a task. A document that was
+a pivot has met all of its region and leaves it, so the recursion ends.
 
 Words are named by polynomials over a prime field at two points drawn anew for each
 run, which no text can make collide (two words of n bytes have one name with a
@@ -357,9 +358,30 @@ class Region:
         cuts = np.flatnonzero(np.diff(label[by])) + 1
         return [x for x in np.split(by, cuts) if len(x) > 1]
 
-    def join(self) -> list[int]:
-        """The smallest connected member of each."""
+    def ringed(self, pivot: int, todo: list[np.ndarray]) -> list[np.ndarray]:
+        """``todo`` dealt by rings around a pivot, which meets all members and leaves;
+        two of them whose distances differ by ``theta`` at most have a ring in common."""
+        members = np.delete(np.arange(len(self.size)), pivot)
+        if not len(members):
+            return []
+        distance = np.insert(self.compare(pivot, members), pivot, np.nan)
+        width, out = 2 * self.theta, []
+        for part in todo:
+            part = part[part != pivot]
+            own, place = distance[part], np.floor(distance[part] / width)
+            near = own >= (place + 1) * width - self.theta - 1e-9
+            for ring in np.unique(place):
+                inside = (place == ring) | (near & (place == ring - 1))
+                self.excluded += int((~inside).sum())
+                if inside.sum() > 1:
+                    out.append(part[inside])
+        return out
+
+    def join(self, pivot: int | None = None) -> list[int]:
+        """The smallest connected member of each; a pivot parts the members first."""
         todo = self.parts()
+        if pivot is not None:
+            todo = self.ringed(pivot, todo)
         while todo:
             members = todo.pop()
             while len(members) > LEAF and not self.connected(members):
@@ -405,14 +427,15 @@ def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
 
 
 def _join_leaves(num: int, den: int):
-    """Whole regions come one after the other; links (a, b) that connect what no
-    label did."""
+    """Whole regions come one after the other, with their pivots where none has met them
+    yet; links (a, b) that connect what no label did."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _grouped(batches, ["region"]):
             region = Region([np.frombuffer(x, dtype=U) for x in rows["hashes"]], num, den, rows["label"].to_numpy())
-            before = list(region.root)
-            root, ids = np.array(region.join()), rows["id"].to_numpy()
+            before, ids = list(region.root), rows["id"].to_numpy()
+            pivot = np.flatnonzero(ids == rows["region"].iloc[0])
+            root = np.array(region.join(int(pivot[0]) if len(pivot) else None))
             new = root != before
             if new.any():
                 yield pd.DataFrame({"a": ids[new], "b": ids[root[new]]})
@@ -464,7 +487,8 @@ def _measured(spark: SparkSession, members: DataFrame, pivots: DataFrame, sets:
     region, in blocks of about ``BLOCK_BYTES``, each with its own copy of the pivots."""
     blocks = members.join(sets.select("id", "n"), "id").groupBy("region").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
     own = members.join(blocks, "region").join(sets, "id").select("region", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_pivot"), "id", "hashes")
-    asked = pivots.join(sets, "id").join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_pivot"), "id", "hashes")
+    places = pivots.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
+    asked = places.join(sets, "id").select("region", "block", F.lit(True).alias("is_pivot"), "id", "hashes")
     dealt = own.unionAll(asked).repartition("region", "block").sortWithinPartitions("region", "block", F.desc("is_pivot"), "id")
     return dealt.mapInPandas(_measure(num, den, every), "region bigint, id bigint, pivot bigint, distance double, linked boolean")
 
@@ -532,18 +556,37 @@ def _swept(spark: SparkSession, regions: DataFrame, links: DataFrame, sets: Data
     return links
 
 
+def _linked(leaves: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of whole regions (region, id, label), each within a task."""
+    dealt = leaves.join(sets.select("id", "hashes"), "id").select("region", "id", "label", "hashes").repartition("region").sortWithinPartitions("region", "id")
+    return dealt.mapInPandas(_join_leaves(num, den), "a bigint, b bigint")
+
+
+def _sized(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    return regions.join(sets.select("id", "n"), "id").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
+
+
 def join_sets(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, label) of the documents of ``sets`` (id, n, hashes) that have a link."""
     theta = 1 - num / den
     members = materialize(spark, regions_of(spark, sets, num, den), "jaccard-regions")
+    large = materialize(spark, _sized(members, sets).where(F.col("bytes") > LEAF_BYTES).select("region"), "jaccard-large")
+    # most regions are small; their sets are sent once
+    small = members.join(large, "region", "left_anti").withColumn("label", F.col("id"))
+    links = materialize(spark, _linked(small, sets, num, den), "jaccard-links")
+    if large.isEmpty():
+        return components(spark, links)
+    members = materialize(spark, members.join(large, "region", "left_semi"), "jaccard-regions")
+    ids = materialize(spark, members.select(F.col("id").alias("m_id")).distinct(), "jaccard-large-ids")
+    wanted = F.broadcast(ids) if broadcasts(ids.count(), 64) else ids
+    sets = materialize(spark, sets.join(wanted, F.col("id") == F.col("m_id"), "left_semi"), "jaccard-large-sets")
     pivots = members.select("region", F.col("region").alias("id")).distinct()
     measured = materialize(spark, _measured(spark, members, pivots, sets, num, den), "jaccard-measured")
-    links = materialize(spark, measured.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-links")
+    links = materialize(spark, links.unionAll(measured.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "jaccard-links")
     regions = _open(spark, rings(measured, theta), links, "jaccard-rings")
     leaves = []
     while True:
-        sized = regions.join(sets.select("id", "n"), "id").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
-        large = materialize(spark, sized.where(F.col("bytes") > LEAF_BYTES).select("region"), "jaccard-large")
+        large = materialize(spark, _sized(regions, sets).where(F.col("bytes") > LEAF_BYTES).select("region"), "jaccard-large")
         if large.isEmpty():
             leaves.append(regions)
             break
@@ -561,9 +604,7 @@ def join_sets(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataF
     whole = leaves[0]
     for more in leaves[1:]:
         whole = whole.unionAll(more)
-    dealt = whole.join(sets.select("id", "hashes"), "id").select("region", "id", "label", "hashes").repartition("region").sortWithinPartitions("region", "id")
-    new = dealt.mapInPandas(_join_leaves(num, den), "a bigint, b bigint")
-    return components(spark, links.unionAll(new))
+    return components(spark, links.unionAll(_linked(whole, sets, num, den)))
 
 
 def join_documents(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

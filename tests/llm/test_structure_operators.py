@@ -352,6 +352,45 @@ def test_region_within_a_task_uses_its_windows():
     assert root == [plain.find(k) for k in range(len(sets))]
 
 
+def test_sets_of_small_regions_are_shuffled_twice(spark, tmp_path):
+    """By document and by region: no further round sends them, though no pivot connects all."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(200):
+        shared, halves = rng.integers(0, 1 << 63, 270), rng.integers(0, 1 << 63, (2, 40))
+        sets += [np.unique(np.concatenate([shared, half, rng.integers(0, 1 << 63, 5)]).astype(np.uint64)) for half in halves for _ in range(2)]
+    spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "id bigint, n int, hashes binary").write.parquet(f"{tmp_path}/sets")
+    store, threshold = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def written() -> dict[tuple, int]:
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    try:
+        found = {r["node"]: r["label"] for r in jaccard.join_sets(spark, spark.read.parquet(f"{tmp_path}/sets"), 90, 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {i: i - i % 2 for i in range(len(sets))}
+    sent = sum(v for k, v in written().items() if k not in before)
+    assert 0 < sent < 3 * sum(s.nbytes for s in sets)
+
+
+def test_rings_within_a_task_lose_no_link():
+    rng = random.Random(11)
+    words = rng.sample(range(1 << 60), 600)
+    sets = [np.unique(np.array(words[cut : cut + 200 + rng.randint(0, 9)], dtype=np.uint64)) for cut in range(0, 300, 3)]
+    for pivot in (0, 50, 99):
+        region, plain = jaccard.Region(sets, 90, 100), jaccard.Region(sets, 90, 100)
+        region.ringed(pivot, [np.arange(len(sets))])
+        assert region.excluded > 0
+        for k in range(len(sets) - 1):
+            plain.compare(k, np.arange(k + 1, len(sets)))
+        assert jaccard.Region(sets, 90, 100).join(pivot) == [plain.find(k) for k in range(len(sets))]
+
+
 def test_join_edges(spark):
     docs = documents(spark, ["a b c d"] * 2 + ["a b c d", "e f g h"], [5, 5, None, 7])
     got = sorted((tuple(r) for r in jaccard.join_documents(spark, docs, 3, 90).collect()), key=str)
