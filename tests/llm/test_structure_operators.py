@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,22 @@ def test_repeats_equal_brute_force(spark, monkeypatch, limits):
     assert sorted(map(tuple, got)) == removed(texts, ids)
 
 
+def test_repeats_in_groups_of_buckets(spark, monkeypatch):
+    """A block sends a row to every group of buckets, not to every bucket."""
+    for name, value in (("BLOCK_BYTES", 3000), ("BUCKET_ANCHORS", 20), ("LOCAL_HOT", 3), ("HOT", 3), ("LEAST_GROUPS", 5)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(8)
+    common, texts = "".join(rng.choices("abcdefgh ", k=200)), []
+    for _ in range(60):
+        texts.append("".join(rng.choices("abcdefgh ", k=300)) + common[rng.randint(0, 90) :] + "".join(rng.choices("abc ", k=90)))
+    dealt = suffix_dedup.deal(sum(map(len, texts)))
+    assert dealt.buckets > 60 and dealt.each > 10
+    rows = suffix_dedup._census(50, dealt, (1234567, 7654321))(pd.DataFrame({"block": 0, "doc_id": range(60), "text": [t.encode() for t in texts]}))
+    assert len(rows) <= 7
+    got = suffix_dedup.remove_repeats(spark, documents(spark, texts)).collect()
+    assert sorted(map(tuple, got)) == removed(texts, list(range(60)))
+
+
 def test_repeats_edges(spark):
     docs = documents(spark, ["x" * 60, "x" * 60, "y" * 60 + "x" * 60], [1, 1, None])
     got = sorted(((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark, docs).collect()), key=str)
