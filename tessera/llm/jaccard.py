@@ -52,7 +52,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import apart, broadcasts, materialize, small_batches
+from tessera.llm.common import apart, broadcasts, materialize, pack, small_batches, unpack
 from tessera.llm.graph import components
 
 #: Shingles that a map task holds before it reduces and emits them.
@@ -60,9 +60,12 @@ RUN_SHINGLES = 1 << 21
 LOT_BYTES = 1 << 20
 #: Bytes of shingles of a ring or cell that a task joins, and of a block that is measured.
 LEAF_BYTES, BLOCK_BYTES = 1 << 20, 1 << 20
-#: And of the pivots that a region which does not shrink meets in a round.
-PIVOT_BYTES = 2 << 20
+#: And of the pivots that a block meets at a time; of a region that does not shrink,
+#: twice as many in each round as in the one before while copies are below the next.
+PIVOT_BYTES, ROUND_BYTES = 2 << 20, 256 << 20
 PIVOTS, LEAF = 8, 16
+#: The share of a region's documents that a cell may have if it is to fall into cells.
+MOST = 0.6
 PRIME = (1 << 31) - 1
 
 U = np.uint64
@@ -112,28 +115,43 @@ class Shingler:
         if sizes.max() > len(self.tables[0]):
             self.tables = [powers(x, int(sizes.max())) for x in self.points]
         symbols = data[np.repeat(starts, sizes) + own] + U(1)
-        a, b = (np.add.reduceat(symbols * t[own] % U(PRIME), at) % U(PRIME) for t in self.tables)
+        # products have 39 bits, so the sum of a word that is not huge has 64 at most
+        folded = (lambda x: x % U(PRIME)) if sizes.max() > 1 << 24 else (lambda x: x)
+        a, b = (np.add.reduceat(folded(symbols * t[own]), at) % U(PRIME) for t in self.tables)
         return a << U(31) | b
 
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """The set of each text; the texts of one call are hashed together."""
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of the texts one after the other, and where each begins, and the
+        end; the texts of one call are hashed together."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
         edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
         starts, ends = edge[::2], edge[1::2]
-        names = self.names(data, starts, ends)
-        bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
-        out, n = [], self.words
+        h, n = self.names(data, starts, ends), self.words
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)])).tolist()
+        x = self.mixed(h, n)  # windows over the edge of a text are left out below
+        parts, sizes = [], [0]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            h, k = names[a:b], min(n, b - a)
-            if not k:
-                out.append(np.zeros(0, dtype=U))
-                continue
-            x = np.full(len(h) - k + 1, k, dtype=U)
-            for j in range(k):
-                x = mix(x * U(0x9FB21C651E98DF25) + h[j : len(h) - k + 1 + j])
-            out.append(np.unique(x))
-        return out
+            part = np.sort(x[a : b - n + 1]) if b - a >= n else self.mixed(h[a:b], b - a) if b > a else h[:0]
+            parts.append(part)
+            sizes.append(len(part))
+        at, every = np.cumsum(sizes), np.concatenate(parts)
+        new = np.append(True, every[1:] != every[:-1])[: len(every)]
+        new[at[:-1][np.diff(at) > 0]] = True
+        return every[new], np.append(0, np.cumsum(new))[at]
+
+    @staticmethod
+    def mixed(h: np.ndarray, k: int) -> np.ndarray:
+        """A hash of every ``k`` neighbouring names."""
+        x = np.full(max(0, len(h) - k + 1), k, dtype=U)
+        for j in range(k if len(x) else 0):
+            x = mix(x * U(0x9FB21C651E98DF25) + h[j : len(h) - k + 1 + j])
+        return x
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """The set of each text."""
+        flat, at = self.flat(texts)
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def prefix_size(n, num: int, den: int):
@@ -152,7 +170,9 @@ def _lots(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-CENSUS = "key bigint, a bigint, b bigint, c bigint, n int"
+#: What a run sends to the task that has a range of shingles: packed columns.
+CENSUS = "part int, kind int, " + ", ".join(f"x{k} binary" for k in range(5))
+SHINGLES, CREDITS, DOCUMENTS = 0, 1, 2
 
 
 def _leads(keys: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,80 +184,111 @@ def _leads(keys: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, n
     return k, i, new, i[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _sampled(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The part of a set that the census looks at: by hash, twice the share that two
+def _looked_at(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the census looks at a shingle: by hash, at twice the share that two
     linked sets can differ in."""
-    return s[mix(s, 31) < U(min(2 * (den - num) * (1 << 64) // den, (1 << 64) - 1))]
+    return mix(s, 31) < U(min(2 * (den - num) * (1 << 64) // den, (1 << 64) - 1))
 
 
-def _credits(ids: np.ndarray) -> pd.DataFrame:
-    """Rows (a: document, b: how many of its sampled shingles are elsewhere, too)."""
-    docs, n = np.unique(ids, return_counts=True)
-    return pd.DataFrame({"key": mix(docs.view(U)).view(np.int64), "a": docs, "b": n, "c": None, "n": 1})
+def _sampled(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The part of a set that the census looks at."""
+    return s[_looked_at(s, num, den)]
 
 
-def _census(words: int, points: tuple[int, int], num: int, den: int):
-    """Of each document a row (a, b and c: its set's name; n: 2 + its size) and a row
-    (a, b: the sampled shingles of the set, n: -1); of each sampled shingle of a run
-    that one set of the run has a row (key, a); what more sets have is credited."""
+def _credits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, and how many of their sampled shingles are elsewhere, too."""
+    return np.unique(ids, return_counts=True)
 
-    def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+
+def _census(words: int, points: tuple[int, int], num: int, den: int, parts: int):
+    """Packed rows: of documents (ids, two columns of their sets' names, sizes, numbers
+    of sampled shingles); of sampled shingles of a run, each with one set of the run
+    (steps between the shingles, ids, whether more sets of the run have it); what more
+    sets have is credited (ids, counts). Shingles go to tasks by range."""
+
+    def row(part: int, kind: int, *columns: np.ndarray) -> tuple:
+        return part % parts, kind, *map(pack, columns), *[b""] * (5 - len(columns))
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["part", "kind", *(f"x{k}" for k in range(5))])
+
+    def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
         k, i, new, _ = _leads(keys, ids)
-        last = np.append(new[1:], True)
-        yield pd.DataFrame({"key": k[new].view(np.int64), "a": i[new], "b": (~last[new]).astype(np.int64), "c": None, "n": 0})
-        if not last[new].all():
-            yield _credits(i[~(new & last)])
+        last, out = np.append(new[1:], True), []
+        if not (new & last).all():
+            out.append(row(int(i[0]), CREDITS, *_credits(i[~(new & last)])))
+        k, i, more = k[new], i[new], (~last[new]).astype(np.int64)
+        cuts = np.searchsorted((k >> U(32)) * U(parts) >> U(32), np.arange(parts + 1, dtype=U)).tolist()
+        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if a < b:
+                out.append(row(part, SHINGLES, np.diff(k[a:b], prepend=U(0)), i[a:b], more[a:b]))
+        return frame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, keys, ids, held = Shingler(words, points), [], [], 0
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
             doc_ids = batch["id"].to_numpy(dtype=np.int64)
-            names = np.zeros((len(texts), 2), dtype=np.int64)
-            sizes, looked = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+            names = np.zeros((2, len(texts)), dtype=np.int64)
+            sizes, looked = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
             spoken: dict[tuple, list] = {}
             for a, b in _lots(texts):
-                for j, s in enumerate(shingler.sets(texts[a:b]), a):
-                    sizes[j] = len(s)
-                    if not len(s):
-                        continue
-                    names[j] = [mix(s, 1).sum(dtype=U).view(np.int64), mix(s, 2).sum(dtype=U).view(np.int64)]
-                    part = _sampled(s, num, den)
-                    looked[j] = len(part)
-                    # of equal sets the smallest document speaks: the one that will stand for all
-                    name = (*names[j].tolist(), len(s))
+                flat, at = shingler.flat(texts[a:b])
+                sizes[a:b] = np.diff(at)
+                full = np.flatnonzero(np.diff(at))
+                if not len(full):
+                    continue
+                for k in (0, 1):
+                    names[k, a + full] = np.add.reduceat(mix(flat, k + 1), at[full]).view(np.int64)
+                taken = np.append(0, np.cumsum(_looked_at(flat, num, den)))[at]
+                looked[a:b] = np.diff(taken)
+                sample = _sampled(flat, num, den)
+                # of equal sets the smallest document speaks: the one that will stand for all
+                for j in full.tolist():
+                    i, name = int(doc_ids[a + j]), (int(names[0, a + j]), int(names[1, a + j]), int(sizes[a + j]))
                     if name in spoken:
-                        spoken[name][0] = min(spoken[name][0], doc_ids[j])
+                        spoken[name][0] = min(spoken[name][0], i)
                     else:
-                        spoken[name] = [doc_ids[j], part]
-            for i, part in spoken.values():
-                keys.append(part)
-                ids.append(np.full(len(part), i))
-                held += len(part)
+                        spoken[name] = [i, sample[taken[j] : taken[j + 1]]]
+            if spoken:
+                keys += [x for _, x in spoken.values()]
+                each = [len(x) for _, x in spoken.values()]
+                ids.append(np.repeat(np.array([i for i, _ in spoken.values()], dtype=np.int64), each))
+                held += sum(each)
             if held > RUN_SHINGLES:
-                yield from emit(keys, ids)
+                yield emit(keys, ids)
                 keys, ids, held = [], [], 0
-            key = mix(doc_ids.view(U)).view(np.int64)
-            yield pd.DataFrame({"key": key, "a": doc_ids, "b": names[:, 0], "c": names[:, 1], "n": 2 + sizes})
-            yield pd.DataFrame({"key": key, "a": doc_ids, "b": looked, "c": None, "n": -1})
+            if len(doc_ids):
+                yield frame([row(int(doc_ids[0]), DOCUMENTS, doc_ids, *names, sizes, looked)])
         if held:
-            yield from emit(keys, ids)
+            yield emit(keys, ids)
 
     return run
 
 
 def _credit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles that more than one run has are credited to the documents that were
-    alone with them in theirs; other rows pass."""
+    """Of each document a row (a, b and c: its set's name; n: 2 + its size) and a row
+    (a, b: the sampled shingles of the set, n: -1); shingles that more than one run has
+    are credited to the documents that were alone with them in theirs, in rows
+    (a, b: how many, n: 1)."""
     keys, ids, shared = [], [], []
+
+    def rows(a: np.ndarray, b: np.ndarray, c, n) -> pd.DataFrame:
+        return pd.DataFrame({"a": a, "b": b, "c": c, "n": n})
+
     for batch in batches:
-        own = batch["n"].to_numpy() == 0
-        keys.append(batch["key"].to_numpy(dtype=np.int64)[own])
-        ids.append(batch["a"].to_numpy(dtype=np.int64)[own])
-        shared.append(batch["b"].to_numpy(dtype=np.float64)[own] > 0)
-        if not own.all():
-            yield batch[~own].drop(columns="key")
-    if not keys or not sum(map(len, keys)):
+        for kind, x0, x1, x2, x3, x4 in zip(batch["kind"], *(batch[f"x{k}"] for k in range(5))):
+            if kind == SHINGLES:
+                keys.append(np.cumsum(unpack(x0, U)))
+                ids.append(unpack(x1, np.int64))
+                shared.append(unpack(x2, np.int64) > 0)
+            elif kind == CREDITS:
+                yield rows(unpack(x0, np.int64), unpack(x1, np.int64), 0, 1)
+            else:
+                a = unpack(x0, np.int64)
+                yield rows(a, unpack(x1, np.int64), unpack(x2, np.int64), 2 + unpack(x3, np.int64))
+                yield rows(a, unpack(x4, np.int64), 0, -1)
+    if not keys:
         return
     k, i, credited = np.concatenate(keys), np.concatenate(ids), np.concatenate(shared)
     order = np.argsort(k, kind="stable")
@@ -245,7 +296,7 @@ def _credit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     new = np.concatenate([[True], k[1:] != k[:-1]])
     more = ~(new & np.append(new[1:], True)) & ~credited
     if more.any():
-        yield _credits(i[more]).drop(columns="key")
+        yield rows(*_credits(i[more]), 0, 1)
 
 
 def _sets(words: int, points: tuple[int, int]):
@@ -484,10 +535,14 @@ def _measure(num: int, den: int, every: bool):
 
 def _measured(spark: SparkSession, members: DataFrame, pivots: DataFrame, sets: DataFrame, num: int, den: int, every: bool = True) -> DataFrame:
     """Distances of the members (region, id) to the pivots (region, id) of their
-    region, in blocks of about ``BLOCK_BYTES``, each with its own copy of the pivots."""
-    blocks = members.join(sets.select("id", "n"), "id").groupBy("region").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
-    own = members.join(blocks, "region").join(sets, "id").select("region", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_pivot"), "id", "hashes")
-    places = pivots.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
+    region, in blocks of about ``BLOCK_BYTES``; a block has a copy for every
+    ``PIVOT_BYTES`` or so of the pivots."""
+    count = lambda rows, each, name: rows.join(sets.select("id", "n"), "id").groupBy("region").agg(F.ceil(F.sum("n") * 8 / each).cast("int").alias(name))
+    sizes = count(members, BLOCK_BYTES, "blocks").join(count(pivots, PIVOT_BYTES, "lots"), "region")
+    block, lot = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id"), F.col("lots"))
+    own = members.join(sizes, "region").select("region", "id", F.explode(F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda x: (block * F.col("lots") + x).cast("int"))).alias("block"))
+    own = own.join(sets, "id").select("region", "block", F.lit(False).alias("is_pivot"), "id", "hashes")
+    places = pivots.join(sizes, "region").select("region", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x * F.col("lots") + lot).cast("int"))).alias("block"), "id")
     asked = places.join(sets, "id").select("region", "block", F.lit(True).alias("is_pivot"), "id", "hashes")
     dealt = own.unionAll(asked).repartition("region", "block").sortWithinPartitions("region", "block", F.desc("is_pivot"), "id")
     return dealt.mapInPandas(_measure(num, den, every), "region bigint, id bigint, pivot bigint, distance double, linked boolean")
@@ -527,7 +582,10 @@ def cells(measured: DataFrame, theta: float) -> DataFrame:
     rest = measured.join(measured.select("region", F.col("pivot").alias("id")).distinct(), ["region", "id"], "left_anti")
     near = F.min("distance").over(Window.partitionBy("region", "id"))
     inside = rest.withColumn("near", near).where(F.col("distance") <= F.col("near") + 2 * theta + 1e-9)
-    shrink = inside.groupBy("region").agg((F.count(F.lit(1)) < 1.5 * F.count_distinct("id")).alias("shrinks"))
+    # where one cell keeps most, many rounds would split off a little each
+    whole = rest.groupBy("region").agg(F.count_distinct("id").alias("n"))
+    each = inside.groupBy("region", "pivot").count().groupBy("region").agg(F.sum("count").alias("all"), F.max("count").alias("most"))
+    shrink = each.join(whole, "region").select("region", ((F.col("all") < 1.5 * F.col("n")) & (F.col("most") <= MOST * F.col("n"))).alias("shrinks"))
     return inside.join(shrink, "region").select(F.when(F.col("shrinks"), F.xxhash64("region", "pivot")).otherwise(F.col("region")).alias("region"), "id", "shrinks").distinct()
 
 
@@ -542,17 +600,21 @@ def _open(spark: SparkSession, regions: DataFrame, links: DataFrame, label: str)
 def _swept(spark: SparkSession, regions: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The links with those of regions (region, id, label) that no pivots split: what
     is outside the largest component of a region meets all of it, as pivots of
-    ``PIVOT_BYTES`` or so at a time, and leaves."""
+    ``PIVOT_BYTES`` or so in the first round and more in the next ones, and leaves."""
+    share = PIVOT_BYTES
     while not regions.isEmpty():
         main = regions.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         outside = materialize(spark, regions.join(main, "region").where("label <> main").join(sets.select("id", "n"), "id").select("region", "id", "n"), "jaccard-outside")
-        lots = outside.groupBy("region").agg(F.ceil(F.sum("n") * 8 / PIVOT_BYTES).alias("lots"), F.min_by("id", F.xxhash64("id")).alias("one"))
+        # copies of pivots for all blocks are within ROUND_BYTES, or those of PIVOT_BYTES
+        most = _sized(regions, sets).select("region", F.least(F.lit(float(share)), F.greatest(F.lit(float(PIVOT_BYTES)), F.lit(float(ROUND_BYTES)) * BLOCK_BYTES / F.col("bytes"))).alias("share"))
+        lots = outside.join(most, "region").groupBy("region").agg(F.ceil(F.sum("n") * 8 / F.max("share")).alias("lots"), F.min_by("id", F.xxhash64("id")).alias("one"))
         # one at least, so that every round brings the end nearer
         mine = (F.pmod(F.xxhash64("id"), F.col("lots")) == 0) | (F.col("id") == F.col("one"))
         pivots = materialize(spark, outside.join(lots, "region").where(mine).select("region", "id").distinct(), "jaccard-pivots")
         new = _measured(spark, regions.select("region", "id"), pivots, sets, num, den, every=False).where("id <> pivot")
         links = materialize(spark, links.unionAll(new.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "jaccard-links")
         regions = _open(spark, regions.join(pivots, ["region", "id"], "left_anti"), links, "jaccard-swept")
+        share = min(2 * share, ROUND_BYTES)
     return links
 
 
@@ -615,7 +677,8 @@ def join_documents(spark: SparkSession, docs: DataFrame, words: int = 5, num: in
     points = draw()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where(F.col("id").isNotNull())
-    census = known.mapInPandas(_census(words, points, num, den), CENSUS).repartition("key").mapInPandas(_credit, "a bigint, b bigint, c bigint, n int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    census = known.mapInPandas(_census(words, points, num, den, parts), CENSUS).repartitionById(parts, F.col("part")).mapInPandas(_credit, "a bigint, b bigint, c bigint, n int")
     census = materialize(spark, census, "jaccard-census")
     rows = census.where("n >= 2").select(F.col("a").alias("id"), (F.col("n") - 2).alias("n_shingles"), F.col("b").alias("s1"), F.col("c").alias("s2"))
     # equal sets: named by their smallest document

@@ -429,6 +429,54 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_small_graphs_and_large_ones_have_the_same_components(spark, monkeypatch):
+    rng = random.Random(10)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(230)] + [(1000 + k, 999 + (7 * k) % 60) for k in range(60)]
+    rows = spark.createDataFrame(edges, "a bigint, b bigint")
+    small = sorted(map(tuple, graph.components(spark, rows).collect()))
+    monkeypatch.setattr(graph, "EDGE_BYTES", 1 << 40)
+    assert small == sorted(map(tuple, graph.components(spark, rows).collect()))
+
+
+def test_census_sends_packed_shingles():
+    """A row for a task, not for a shingle; what more than one run has is credited."""
+    rng = random.Random(12)
+    shared = " ".join(str(rng.randint(0, 1 << 40)) for _ in range(60))
+    texts = [f"{shared} " + " ".join(str(rng.randint(0, 1 << 40)) for _ in range(50)) for _ in range(40)]
+    run = jaccard._census(3, (1234567, 7654321), 80, 100, 4)
+    sent = pd.concat([x for a in (0, 20) for x in run([pd.DataFrame({"id": range(a, a + 20), "text": texts[a : a + 20]})])])
+    assert len(sent) <= 2 * (4 + 2)
+    rows = pd.concat([x for _, part in sent.groupby("part") for x in jaccard._credit([part])])
+    shingler = jaccard.Shingler(3, (1234567, 7654321))
+    looked = [jaccard._sampled(s, 80, 100) for s in shingler.sets(texts)]
+    assert dict(rows[rows["n"] == -1][["a", "b"]].to_numpy().tolist()) == {i: len(s) for i, s in enumerate(looked)}
+    assert rows[rows["n"] == 1].groupby("a")["b"].sum().to_dict() == {i: sum(sum(x in s for s in looked) > 1 for x in part) for i, part in enumerate(looked)}
+    assert dict(rows[rows["n"] >= 2][["a", "n"]].to_numpy().tolist()) == {i: 2 + len(s) for i, s in enumerate(shingler.sets(texts))}
+
+
+def test_region_that_a_cell_keeps_does_not_shrink(spark):
+    """Else a round for every few documents that leave it."""
+    rows = [(1, i, p, 0.1 if (i < 1090) == (p == 1) else 0.9, False) for i in range(1000, 1100) for p in (1, 2)]
+    measured = spark.createDataFrame(rows, "region bigint, id bigint, pivot bigint, distance double, linked boolean")
+    assert {(r["region"], r["shrinks"]) for r in jaccard.cells(measured, 0.2).collect()} == {(1, False)}
+    even = measured.withColumn("distance", F.when(F.col("id") % 2 + 1 == F.col("pivot"), 0.1).otherwise(0.9))
+    assert len({r["region"] for r in jaccard.cells(even, 0.2).where("shrinks").collect()}) == 2
+
+
+def test_pivots_in_lots_meet_all_members(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 90, 60).astype(np.uint64)) for _ in range(30)]
+    rows = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "id bigint, n int, hashes binary")
+    members, pivots = rows.selectExpr("7L as region", "id"), rows.where("id % 3 = 0").selectExpr("7L as region", "id")
+    monkeypatch.setattr(jaccard, "PIVOT_BYTES", 1500)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
+    got = {(r["id"], r["pivot"]): r["distance"] for r in jaccard._measured(spark, members, pivots, rows, 80, 100).collect()}
+    assert got.keys() == {(i, p) for i in range(30) for p in range(0, 30, 3)}
+    for (i, p), d in got.items():
+        both = len(np.intersect1d(sets[i], sets[p]))
+        assert abs(d - (1 - both / (len(sets[i]) + len(sets[p]) - both))) < 1e-9
+
+
 # neighbours
 
 
